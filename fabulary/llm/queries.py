@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fabulary.llm.bpe import op6
+from fabulary.llm.media import op9
+from fabulary.llm.mixing import op2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2,
     "op6_byte_bpe": op6,
+    "op9_media_png": op9,
 }
 
 #: DuckDB SQL for those that SQL can express.
