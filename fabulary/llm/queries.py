@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fabulary.llm.bpe import op6
+from fabulary.llm.fingerprint import op10
 from fabulary.llm.media import op9
 from fabulary.llm.mixing import op2
+from fabulary.llm.sharding import op3
+from fabulary.llm.simhash import op8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2,
+    "op3_sharding": op3,
     "op6_byte_bpe": op6,
+    "op8_simhash": op8,
     "op9_media_png": op9,
+    "op10_fingerprint": op10,
 }
 
 #: DuckDB SQL for those that SQL can express.
