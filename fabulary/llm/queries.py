@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fabulary.llm.bpe import op6
 from fabulary.llm.fingerprint import op10
+from fabulary.llm.html_text import op4
 from fabulary.llm.media import op9
 from fabulary.llm.mixing import op2
+from fabulary.llm.quality import op1
+from fabulary.llm.secret_scan import op7
 from fabulary.llm.sharding import op3
 from fabulary.llm.simhash import op8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1,
     "op2_mixing": op2,
     "op3_sharding": op3,
+    "op4_html_text": op4,
     "op6_byte_bpe": op6,
+    "op7_secrets": op7,
     "op8_simhash": op8,
     "op9_media_png": op9,
     "op10_fingerprint": op10,
