@@ -27,7 +27,7 @@ from fabulary.llm.common import table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks kept per worker; a full cache is emptied, which costs time only.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 #: A blank after white space does not start a chunk of its own.
 _INNER_SPACE = re.compile(r"\s |\s\Z")
 _CHUNK = re.compile(r"(?<=\S)(?= )")
@@ -82,12 +82,12 @@ class Codec:
             return [stem] if len(stem) == len(chunk) else [stem, chunk[len(stem) :]]
         return self.split.findall(chunk)
 
-    def _learn(self, fresh: set[str]) -> None:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-            self.pieces.clear()
+    def _learn(self, needed: set[str]) -> None:
         chunks, pieces, split, new = self.chunks, self.pieces, {}, []
-        for chunk in fresh:
+        if len(chunks) > CACHE_CHUNKS:
+            chunks.clear()
+            pieces.clear()
+        for chunk in needed.difference(chunks):
             own = split[chunk] = self._pieces_of(chunk)
             for piece in own:
                 if piece not in pieces:
@@ -102,11 +102,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
-        for at in range(0, len(texts), 1000):
-            split = [self._parts(t) for t in texts[at : at + 1000]]
-            fresh = set().union(*split).difference(self.chunks)
-            if fresh:
-                self._learn(set().union(*split) if len(self.chunks) > CACHE_CHUNKS else fresh)
+        for at in range(0, len(texts), 500):
+            split = [self._parts(t) for t in texts[at : at + 500]]
+            self._learn(set().union(*split))
             known = self.chunks
             out += [b"".join([known[c] for c in parts]) for parts in split]
         return out
@@ -137,8 +135,10 @@ def _default() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def _values(batch: pa.Array) -> list[str]:
-    return [x or "" for x in batch.to_pylist()]
+def _slices(batch: pa.Array, rows: int = 500) -> Iterator[list]:
+    """The values of a batch, a few at a time: one long batch is never held as Python objects."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows).to_pylist()
 
 
 def token_ids(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
@@ -149,7 +149,7 @@ def token_ids(text: Column, path: str | None = None, pattern: str | None = None)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for batch in batches:
-            yield pa.array(own.encode(_values(batch)), pa.binary())
+            yield pa.array([ids for part in _slices(batch) for ids in own.encode([x or "" for x in part])], pa.binary())
 
     return encode(text)
 
@@ -193,14 +193,28 @@ def token_text(ids: Column, path: str | None = None, pattern: str | None = None)
     return decode(ids)
 
 
+def coded(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """STRUCT<ids BINARY, decoded BINARY>: `token_ids`, and what `token_bytes` makes of them, by one worker."""
+    path, pattern = path or _default()[0], pattern or _default()[1]
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for batch in batches:
+            ids = [x for part in _slices(batch) for x in own.encode([t or "" for t in part])]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with `token_ids` BINARY and `n_tokens` LONG. The ids are checked by nothing but their decoding: see `token_bytes`."""
-    return df.withColumn("token_ids", token_ids(text_of(text), path, pattern)).withColumn("n_tokens", (F.length("token_ids") / 4).cast("long"))
+    """df with `token_ids` BINARY, `n_tokens` LONG and `decoded` BINARY, the bytes that the ids stand for."""
+    out = df.withColumn("_coded", coded(text_of(text), path, pattern))
+    return out.withColumn("token_ids", F.col("_coded.ids")).withColumn("n_tokens", (F.length("token_ids") / 4).cast("long")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents."""
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return coded.withColumn("decoded", token_bytes(F.col("token_ids"))).select(
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
