@@ -15,12 +15,14 @@ from fabulary.llm.quality import op1
 from fabulary.llm.secret_scan import op7
 from fabulary.llm.sharding import op3
 from fabulary.llm.simhash import op8
+from fabulary.llm.suffix_tree import op5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1,
     "op2_mixing": op2,
     "op3_sharding": op3,
     "op4_html_text": op4,
+    "op5_suffix_tree": op5,
     "op6_byte_bpe": op6,
     "op7_secrets": op7,
     "op8_simhash": op8,
