@@ -30,7 +30,7 @@ def register(known: DataFrame, ment: DataFrame) -> DataFrame:
 def nodes(stats: DataFrame, *more: DataFrame) -> DataFrame:
     """project_id, id, label, layer, type, weight. stats: entity_stats; more: frames of the same columns; the first of equal labels stays."""
     most = F.max("mentions").over(Window.partitionBy("project_id"))
-    base = stats.select("project_id", F.col("stable_id").alias("id"), F.col("text").alias("label"), F.lit(1).alias("layer"), F.col("category").alias("type"), (0.1 + 0.9 * F.col("mentions") / most).alias("weight"), F.lit(0).alias("branch"))
+    base = stats.select("project_id", F.col("stable_id").alias("id"), F.col("text").alias("label"), F.lit(1).alias("layer"), F.col("category").alias("type"), F.least(0.1 + 0.9 * (F.col("mentions") / most), F.lit(1.0)).alias("weight"), F.lit(0).alias("branch"))
     for n, frame in enumerate(more, 1):
         base = base.unionByName(frame.withColumn("branch", F.lit(n)))
     order = Window.partitionBy("project_id", identity_key(F.col("label"))).orderBy("branch", F.desc("weight"), "id")
