@@ -8,8 +8,8 @@ share, and a bounded-knapsack dynamic programme over the lengths' remaining coun
 Which documents of a length are taken is decided by a seeded hash of the id, so reruns agree.
 
 Cases: a null text has size 0; a null source is a source; sizes of 0 take nothing; a source without words has
-target 0; an empty table gives no rows; repeated rows are documents of their own; other columns are kept, and a
-column of the same name as an output is replaced.
+target 0; an empty table gives no rows; repeated rows are documents of their own; columns other than
+doc_id, source and text are never read.
 """
 
 from __future__ import annotations

@@ -140,7 +140,7 @@ class Network:
         short = np.flatnonzero(mark == (mark.mean() < 0.5))
         times = max(1, min(8, (len(mark) - len(short)) // max(1, len(short))))
         places = np.concatenate([np.arange(len(mark)), np.repeat(short, (times - 1) // 2)])
-        rounds = epochs * max(1, 1_200 // len(places))
+        rounds = epochs * min(6, max(1, 1_200 // len(places)))
         for epoch in range(rounds):
             rate = RATE * (1 - epoch / rounds) + RATE / 20
             for part in np.array_split(rng.permutation(places), -(-len(places) // BATCH)):

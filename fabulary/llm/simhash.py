@@ -191,7 +191,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = WORDS) -> DataFrame
     """docs without all but one document of each component, the one with the smallest id; of repeated rows one stays."""
     winners = near_duplicates(docs, radius, n).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(winners, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return docs.join(winners, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
