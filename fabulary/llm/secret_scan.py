@@ -2,8 +2,8 @@
 
 Three patterns give base spans. Beyond them, long runs of key characters are judged by two first-order Markov models
 over characters, one of random strings and one of ordinary identifiers, trained on samples that the corpus labels
-itself: values inside base spans are random; long runs outside them made of letters without digits, or of digits
-alone, are ordinary. A run of unknown kind is a secret when the log-likelihood ratio per transition exceeds a margin.
+itself: values inside base spans are random; long runs outside them whose parts between joining marks are letters
+alone or digits alone are ordinary. A run of unknown kind is a secret when the log-likelihood ratio per transition exceeds a margin.
 
 Transitions are counted over all documents by a grouped sum whose result has at most as many rows as there are pairs
 of key characters; it becomes a literal array of the second step. Places are code points, ends are exclusive.
@@ -31,9 +31,12 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex")
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+ORDINARY = "^[+/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
 #: Log-likelihood ratio per transition above which a run counts as random, and the digits and letters it must have.
 MARGIN, LEAST = 0.35, 3
+#: Transitions that the single-character distribution counts for in each context.
+LEAN = 20.0
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
@@ -82,8 +85,11 @@ def _secret_value(span: Column) -> Column:
 
 
 def transition_ratios(found: DataFrame) -> list[float]:
-    """Log ratio of random to ordinary for each pair of key characters, add-one smoothed. found: `base` and `runs` of all documents."""
-    plain = F.filter("runs", lambda r: ~r["value"].rlike("[0-9]") | r["value"].rlike("^[0-9]+$"))
+    """Log ratio of random to ordinary for each pair of key characters. found: `base` and `runs` of all documents.
+
+    Rare contexts lean on how often each character occurs at all, which is smoothed by one.
+    """
+    plain = F.filter("runs", lambda r: r["value"].rlike(ORDINARY))
     samples = found.select(
         F.explode(
             F.concat(
@@ -97,7 +103,9 @@ def transition_ratios(found: DataFrame) -> list[float]:
     n = len(ALPHABET)
     seen = {(r["random"], r["pair"]): r["count"] for r in counted}
     before = {(label, a): sum(seen.get((label, a + b), 0) for b in ALPHABET) for label in (0, 1) for a in ALPHABET}
-    log = lambda label, a, b: math.log((seen.get((label, a + b), 0) + 1) / (before[label, a] + n))
+    total = {label: sum(before[label, a] for a in ALPHABET) for label in (0, 1)}
+    alone = {(label, b): (sum(seen.get((label, a + b), 0) for a in ALPHABET) + 1) / (total[label] + n) for label in (0, 1) for b in ALPHABET}
+    log = lambda label, a, b: math.log((seen.get((label, a + b), 0) + LEAN * alone[label, b]) / (before[label, a] + LEAN))
     return [log(1, a, b) - log(0, a, b) for a in ALPHABET for b in ALPHABET]
 
 
@@ -115,7 +123,7 @@ def _judged(found: DataFrame) -> DataFrame:
         total = F.aggregate(steps, F.lit(0.0), lambda sum_, i: sum_ + F.element_at(ratios, place(value, i) * len(ALPHABET) + place(value, i + 1) + 1))
         return total / (F.length(value) - 1)
 
-    mixed = lambda r: (F.length(F.regexp_replace(r["value"], "[^0-9]", "")) >= LEAST) & (F.length(F.regexp_replace(r["value"], "[^A-Za-z]", "")) >= LEAST)
+    mixed = lambda r: ~r["value"].rlike(ORDINARY) & (F.length(F.regexp_replace(r["value"], "[^0-9]", "")) >= LEAST) & (F.length(F.regexp_replace(r["value"], "[^A-Za-z]", "")) >= LEAST)
     random = F.filter("runs", lambda r: F.when(mixed(r), ratio(r["value"]) > MARGIN).otherwise(F.lit(False)))
     return found.withColumn("spans", F.array_sort(F.concat("base", random)))
 
