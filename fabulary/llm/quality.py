@@ -30,7 +30,7 @@ VECTOR, FILTERS, SHAPES = 8, 16, 16
 STEP, HALF = 4, 16  # bytes between windows, windows in half a chunk
 EPOCHS, BATCH, RATE, SEED = 8, 24, 0.004, 11
 #: Bytes that one forward pass holds at a time.
-_PASS = 2_000_000
+_PASS = 400_000
 
 
 @dataclass
