@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_VARIANTS, CONTEXT = 16, 24
@@ -54,20 +54,36 @@ def occurrences(text: Column, patterns: Sequence[str]) -> Column:
 
     def whole(m: Column) -> Column:
         start, size = m["start"], F.length(m["matched"])
-        before = F.regexp_extract(F.substring(text, F.lit(1), start + 1), '([“”「」『』"])[^“”「」『』"]*$', 1)
-        first = F.greatest(start - CONTEXT, F.lit(0))
-        last = F.least(start + size + CONTEXT, F.length(text))
-        cut = F.concat(F.when(first > 0, "…").otherwise(""), F.substring(text, first + 1, last - first), F.when(last < F.length(text), "…").otherwise(""))
-        return F.struct(start.alias("start"), m["matched"].alias("matched"), before.isin("“", "「", "『", '"').alias("in_dialogue"), cut.alias("excerpt"))
+        return F.struct(start.alias("start"), m["matched"].alias("matched"), _in_dialogue(text, start).alias("in_dialogue"), _excerpt(text, start, size).alias("excerpt"))
 
     return F.when(text.rlike(either), F.transform(placed, whole)).otherwise(F.array().cast("array<struct<start:int,matched:string,in_dialogue:boolean,excerpt:string>>"))
 
 
-def hits(blocks: DataFrame, patterns: Sequence[tuple]) -> DataFrame:
-    """blocks exploded to their matches, with the pattern and what the lexicon says of it. patterns: (pattern, category[, tier])."""
-    spark = blocks.sparkSession
-    rows = [(v, n, p[0], p[1], p[2] if len(p) > 2 else None) for v, n in variants([p[0] for p in patterns]) for p in [patterns[n]]]
-    known = spark.createDataFrame(rows, "matched string, pattern_idx int, pattern string, category string, tier string")
-    found = blocks.withColumn("hit", F.explode(occurrences(F.col("content"), [p[0] for p in patterns])))
+def hits(blocks: DataFrame, patterns: Sequence[tuple], key: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
+    """blocks exploded to their matches, with the pattern and what the lexicon says of it. patterns: (pattern, category[, tier]).
+
+    Places are running sums over the matches of a block; what a query doesn't ask for (excerpts, quotation) is pruned.
+    """
+    tried = variants([p[0] for p in patterns])
+    rows = [(v, n, patterns[n][0], patterns[n][1], patterns[n][2] if len(patterns[n]) > 2 else None) for v, n in tried]
+    known = blocks.sparkSession.createDataFrame(rows, "matched string, pattern_idx int, pattern string, category string, tier string")
+    either, text = "|".join(re.escape(v) for v, _ in tried), F.col("content")
+    found = F.regexp_extract_all(text, F.lit(f"(?:{either})"), F.lit(0))
+    gaps = F.slice(F.split(text, either, -1), F.lit(1), F.size(found))
+    each = blocks.where(text.rlike(either)).select("*", F.posexplode(F.arrays_zip(gaps.alias("gap"), found.alias("matched"))).alias("_nth", "_m"))
+    upto = F.sum(F.length("_m.gap") + F.length("_m.matched")).over(Window.partitionBy(*key).orderBy("_nth"))
+    placed = each.withColumn("matched", F.col("_m.matched")).withColumn("start", (upto - F.length("_m.matched")).cast("int")).drop("_nth", "_m")
+    said = _in_dialogue(text, F.col("start"))
     # The lexicon's size is fixed: a few variants for each pattern.
-    return found.select("*", "hit.start", "hit.matched", "hit.in_dialogue", "hit.excerpt").drop("hit").join(F.broadcast(known), "matched")
+    return placed.withColumn("in_dialogue", said).withColumn("excerpt", _excerpt(text, F.col("start"), F.length("matched"))).join(F.broadcast(known), "matched")
+
+
+def _in_dialogue(text: Column, start: Column) -> Column:
+    """Whether the last quotation mark up to the place opens."""
+    return F.regexp_extract(F.substring(text, F.lit(1), start + 1), '([“”「」『』"])[^“”「」『』"]*$', 1).isin("“", "「", "『", '"')
+
+
+def _excerpt(text: Column, start: Column, size: Column) -> Column:
+    first = F.greatest(start - CONTEXT, F.lit(0))
+    last = F.least(start + size + CONTEXT, F.length(text))
+    return F.concat(F.when(first > 0, "…").otherwise(""), F.substring(text, first + 1, last - first), F.when(last < F.length(text), "…").otherwise(""))
