@@ -46,10 +46,8 @@ def forms(eras: Sequence[str] = ()) -> dict[str, str]:
 def markers(seg: DataFrame, eras: Sequence[str] = (), most: int = MOST_MARKERS) -> DataFrame:
     """One row per time expression, the first `most` of each document: form, kind, date, offset in days, place in the text."""
     kinds = forms(eras)
-    words = [*eras, *DEICTIC_DAYS, *VAGUE_TIMES, *SOLAR_TERMS, *FESTIVALS, *HOUR_PERIODS, *WEEKDAYS]
-    # Every form begins with one of these characters, which spares the alternatives at all other places.
-    opens = "".join(sorted({w[0] for w in words} | set(STEMS + "〇零一二三四五六七八九十两半闰正冬腊初廿")))
-    pattern = f"(?=[0-9{opens}])(?:" + "|".join(f"(?:{p})" for p in kinds.values()) + ")"
+    # Every form begins with a digit or a Chinese character, which spares the alternatives at all other places.
+    pattern = "(?=[0-9〇一-鿿])(?:" + "|".join(f"(?:{p})" for p in kinds.values()) + ")"
     text = F.col("content")
     found = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
