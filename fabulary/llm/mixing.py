@@ -8,8 +8,8 @@ share, and a bounded-knapsack dynamic programme over the lengths' remaining coun
 Which documents of a length are taken is decided by a seeded hash of the id, so reruns agree.
 
 Cases: a null text has size 0; a null source is a source; sizes of 0 take nothing; a source without words has
-target 0; an empty table gives no rows; repeated rows are documents of their own; columns other than
-doc_id, source and text are never read.
+target 0; an empty table gives no rows; repeated rows and rows without an id are documents of their own; columns
+other than doc_id, source and text are never read.
 """
 
 from __future__ import annotations
@@ -123,6 +123,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + (F.col("nth") <= F.col("quota")).cast("int")).alias("copies"))
 
 
+def repeat(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """docs with each row as often as the mix takes it.
+
+    Rows that share id, source and size are alike to the mix and differ by one copy at most, so their sums say enough;
+    the key is a struct, in which nulls are equal.
+    """
+    key = lambda size: F.struct(F.col("doc_id"), F.col("source"), size.alias("size"))
+    plan = mix(docs, weights, share, cap, seed).groupBy(key(F.col("size")).alias("_mix_key"))
+    plan = plan.agg(F.min("copies").alias("_mix_low"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_mix_more"))
+    nth = F.row_number().over(Window.partitionBy("_mix_key").orderBy("text"))
+    ranked = docs.withColumn("_mix_key", key(word_count(text_of()))).withColumn("_mix_nth", nth).join(plan, "_mix_key")
+    copies = F.col("_mix_low") + (F.col("_mix_nth") <= F.col("_mix_more")).cast("int")
+    return ranked.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it, repeats counted."""
     mixed = mix(table(spark, sf_dir, "documents"))

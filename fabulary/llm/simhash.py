@@ -12,7 +12,8 @@ A value has at most 1 + 64 + 2016 values within two bits, so links stay linear i
 alternating large-star and small-star steps, each written to the checkpoint folder.
 
 Cases: a null text is the empty one; texts without words have fingerprint zero and link like any other; repeated
-rows share a component; an empty table gives no rows.
+rows share a component; a row without an id links like any other, and a component without any id has a null
+component_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -178,20 +179,33 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
 
 
+def _grouped(docs: DataFrame, radius: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row, and by distinct `fp` its `group` (the smallest fingerprint that links reach) and `component_id`."""
+    base = cut(docs.select("doc_id", simhash(text_of(), n).alias("fp")))
+    values = cut(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(values.select("fp", F.col("fp").alias("node")), radius)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    grouped = values.join(found, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    smallest = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
+    return base, cut(grouped.join(smallest, "group").select("fp", "group", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id: the smallest id that links reach from the document, itself included."""
-    base = cut(docs.select("doc_id", simhash(text_of(), n).alias("fp")))
-    values = cut(base.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(values, radius))
-    labelled = values.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return base.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    base, groups = _grouped(docs, radius, n)
+    return base.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = WORDS) -> DataFrame:
-    """docs without all but one document of each component, the one with the smallest id; of repeated rows one stays."""
-    winners = near_duplicates(docs, radius, n).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """docs without all but one document of each component: the one with the smallest id, or, where no row has an id, with the smallest text."""
+    base, groups = _grouped(docs, radius, n)
+    winners = groups.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(winners, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    named = docs.join(winners, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    # The filter on null ids reaches the scan, and the minimum is taken before the shuffle.
+    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("row"), simhash(text_of(), n).alias("fp"))
+    nameless = nameless.join(groups.where(F.col("component_id").isNull()), "fp")
+    nameless = nameless.groupBy("group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return named.unionByName(nameless.select("row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fabulary.llm import mixing, simhash
 
 
 def test_stages(spark, tmp_path):
@@ -38,3 +39,40 @@ def test_stages(spark, tmp_path):
     assert abs(mixed - 1.5 * total) <= 130
     assert seen["encoding"].where("not round_trip").count() == 0 and seen["encoding"].count() == seen["mixing"].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["encoding"].count()
+
+
+EXTRA = ["spans", "base", "runs", "size", "fp", "group", "row", "copies", "n_tokens", "decoded", "score", "component_id"]
+
+
+def test_stages_keep_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rows = [(i if i % 3 else None, None if i == 4 else f"text {i // 2} of some words", "en", None if i % 5 == 0 else "s", 20) for i in range(24)]
+    rows += [rows[1], rows[1], (None, None, None, None, None), (None, None, None, None, None), (7, "token=" + "a1" * 10, "en", "s", 26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in EXTRA})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert all(r[c] == "x" for r in got.collect() for c in EXTRA if name != "encoding" or c != "n_tokens")
+        if name in ("quality", "secrets", "encoding"):
+            assert got.count() == len(rows)
+        assert len(set(got.columns)) == len(got.columns) and (name == "encoding" or got.columns == docs.columns)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_without_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(None, text(1)), (None, text(1)), (5, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (9, text(4)), (9, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, text(1)), (None, text(2)), (None, text(3)), (9, text(4))], key=str)
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(None, 5), (5, 5), (None, None), (9, 9)}
+
+
+def test_repeated_rows_are_mixed_apart(spark):
+    rows = [(1, "a b c", None)] * 3 + [(None, "d e", "s"), (None, "f g", "s"), (2, "h", None), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, want = {}, {}
+    for r in mixing.repeat(docs).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.copies
+    assert got == {k: n for k, n in want.items() if n}
