@@ -69,17 +69,21 @@ class Network:
         }
         self.weights["byte"][0] = 0
 
-    def forward(self, laid: Laid) -> tuple[np.ndarray, dict]:
+    def _windows(self, data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte vectors, and the outputs of the first filters at each window of whole halves; data may go on by one group."""
         w = self.weights
-        seen = w["byte"][laid.data].reshape(len(laid.data), -1)
+        seen = w["byte"][data].reshape(len(data), -1)
         both = seen @ w["near"]
         near = both[:, :FILTERS]
         near[:-1] += both[1:, FILTERS:]
-        near += w["near0"]
+        near = near[: len(valid) * HALF] + w["near0"]
         np.maximum(near, 0, out=near)
-        inside = (np.arange(HALF) < laid.valid[:, None]).reshape(-1, 1)
-        near = near * inside
-        sums, counts = near.reshape(-1, HALF, FILTERS).sum(1), laid.valid.astype(np.float32)
+        near *= (np.arange(HALF) < valid[:, None]).reshape(-1, 1)
+        return seen, near
+
+    def _combined(self, sums: np.ndarray, laid: Laid) -> tuple[np.ndarray, dict]:
+        """Logits from the filters' sums over half chunks."""
+        w, counts = self.weights, laid.valid.astype(np.float32)
         # A chunk is a half and the next one of the same text; the last half has none and stands alone only if it is the first.
         last = laid.first + laid.halves - 1
         pair_sum, pair_count = sums.copy(), counts.copy()
@@ -92,16 +96,24 @@ class Network:
         alone = laid.halves == 1
         shapes[last[~alone]] = -1  # covered by the chunk before
         top = np.maximum.reduceat(shapes, laid.first, axis=0)
-        return top @ w["out"] + w["out0"][0], {"seen": seen, "near": near, "chunks": chunks, "shapes": shapes, "top": top, "last": last, "pair_count": pair_count}
+        return top @ w["out"] + w["out0"][0], {"chunks": chunks, "shapes": shapes, "top": top, "last": last, "pair_count": pair_count}
+
+    def forward(self, laid: Laid) -> tuple[np.ndarray, dict]:
+        seen, near = self._windows(laid.data, laid.valid)
+        logit, got = self._combined(near.reshape(-1, HALF, FILTERS).sum(1), laid)
+        return logit, got | {"seen": seen, "near": near}
 
     def scores(self, raw: list[bytes]) -> np.ndarray:
+        """Windows are looked at _PASS bytes at a time, also inside a long text; only their sums by half chunk are kept."""
         out, at = [], 0
         while at < len(raw):
             end, size = at, 0
             while end < len(raw) and (end == at or size + len(raw[end]) <= _PASS):
                 size += len(raw[end])
                 end += 1
-            out.append(self.forward(lay(raw[at:end]))[0])
+            laid, step = lay(raw[at:end]), _PASS // (STEP * HALF)
+            sums = [self._windows(laid.data[k * HALF : (k + step) * HALF + 1], laid.valid[k : k + step])[1].reshape(-1, HALF, FILTERS).sum(1) for k in range(0, len(laid.valid), step)]
+            out.append(self._combined(np.concatenate(sums), laid)[0])
             at = end
         logit = np.concatenate(out or [np.zeros(0)]).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

@@ -380,3 +380,12 @@ def test_scores_cover_the_whole_text():
     alone = [net.scores([r])[0] for r in raw]
     assert np.allclose(net.scores(raw), alone, atol=1e-5)
     assert net.scores([raw[0] + b" ###" * 100])[0] != pytest.approx(alone[0], abs=1e-9)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    net = quality.Network(3)
+    raw = [prose(1, 900).encode(), b"", prose(2, 3_000).encode() + b"###", b"x", prose(3, 40).encode()]
+    whole = net.scores(raw)
+    for size in (64, 320, 1_000):
+        monkeypatch.setattr(quality, "_PASS", size)
+        assert np.allclose(net.scores(raw), whole, atol=1e-6)
