@@ -3,7 +3,7 @@
 The vocabulary is a rank file (base64 token, rank per line). Bytes are written as printable characters so that
 the library's BPE model can work on them; every pair of tokens whose concatenation is a token becomes a merge with
 the rank of that token, which is the rule by which a rank file is applied. Each match of the split pattern is
-encoded alone, and equal chunks of text are encoded once per worker while the cache lasts.
+encoded alone, and equal chunks of text are encoded once per task while the cache lasts.
 
 Cases: a null text is the empty one and has no tokens; special-token strings inside a text are ordinary text; an
 output column replaces an input column of the same name; rows, ties and repeats pass through one to one.
@@ -85,8 +85,7 @@ class Codec:
     def _learn(self, needed: set[str]) -> None:
         chunks, pieces, split, new = self.chunks, self.pieces, {}, []
         if len(chunks) > CACHE_CHUNKS:
-            chunks.clear()
-            pieces.clear()
+            self.forget()
         for chunk in needed.difference(chunks):
             own = split[chunk] = self._pieces_of(chunk)
             for piece in own:
@@ -99,6 +98,11 @@ class Codec:
         for chunk, own in split.items():
             chunks[chunk] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
 
+    def forget(self) -> None:
+        """Empties the cache: a worker outlives its task, and later stages need the memory."""
+        self.chunks.clear()
+        self.pieces.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
@@ -200,9 +204,10 @@ def coded(text: Column, path: str | None = None, pattern: str | None = None) ->
     @F.arrow_udf("ids binary, decoded binary")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            ids = [x for part in _slices(batch) for x in own.encode([t or "" for t in part])]
+        for part in (part for batch in batches for part in _slices(batch)):
+            ids = own.encode([t or "" for t in part])
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["ids", "decoded"])
+        own.forget()
 
     return both(text)
 
