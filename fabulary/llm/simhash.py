@@ -180,8 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, radius: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, fp of every row, and by distinct `fp` its `group` (the smallest fingerprint that links reach) and `component_id`."""
-    base = cut(docs.select("doc_id", simhash(text_of(), n).alias("fp")))
+    """doc_id, fp and `h`, a hash of the text, of every row, and by distinct `fp` its `group` (the smallest fingerprint that links reach) and `component_id`."""
+    base = cut(docs.select("doc_id", F.xxhash64(text_of()).alias("h"), simhash(text_of(), n).alias("fp")))
     values = cut(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(values.select("fp", F.col("fp").alias("node")), radius)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     grouped = values.join(found, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
@@ -197,13 +197,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = WORDS) -> Da
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = WORDS) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest id, or, where no row has an id, with the smallest text."""
-    base, groups = _grouped(docs, radius, n)
-    winners = groups.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(winners, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    return one_of_each(docs, *_grouped(docs, radius, n))
+
+
+def one_of_each(docs: DataFrame, base: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each group: the one with the smallest id, of those the one with the smallest text. base, groups: as _grouped gives them.
+
+    An id may stand for several texts, so a row is found by its id and the hash of its text.
+    """
+    winners = base.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h", "group").distinct()
+    ids = winners.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "group"))).alias("__won"))
+    own = F.col("__won")[F.xxhash64(text_of())]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__group").orderBy("text"))
+    named = docs.join(ids, "doc_id").withColumn("__group", own).where(F.col("__group").isNotNull())
+    named = named.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
     # The filter on null ids reaches the scan, and the minimum is taken before the shuffle.
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("row"), simhash(text_of(), n).alias("fp"))
-    nameless = nameless.join(groups.where(F.col("component_id").isNull()), "fp")
+    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_of()).alias("h"))
+    nameless = nameless.join(winners.where(F.col("doc_id").isNull()).select("h", "group"), "h")
     nameless = nameless.groupBy("group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
     return named.unionByName(nameless.select("row.*"))
 

@@ -67,6 +67,13 @@ def test_near_duplicates_without_ids(spark):
     assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(None, 5), (5, 5), (None, None), (9, 9)}
 
 
+def test_near_duplicates_with_clashing_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    kept = lambda rows: sorted(tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(5, text(1)), (5, text(2)), (7, text(2))]) == [(5, text(1)), (5, text(2))]
+    assert kept([(3, text(1)), (5, text(1)), (5, text(2)), (7, text(2)), (5, text(2))]) == [(3, text(1)), (5, text(2))]
+
+
 def test_repeated_rows_are_mixed_apart(spark):
     rows = [(1, "a b c", None)] * 3 + [(None, "d e", "s"), (None, "f g", "s"), (2, "h", None), (3, "", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
