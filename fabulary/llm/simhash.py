@@ -35,18 +35,21 @@ CROWDED, SHARD_ROWS = 4_096, 100_000
 _QUERIES = 4_096
 
 
-def fingerprint(text: str, n: int = WORDS) -> int:
-    """Signed 64-bit SimHash of the n-word shingles, repeats included."""
+def shingle_hashes(text: str, n: int) -> np.ndarray:
+    """Hashes of the n-word shingles in text order; fewer words are one shingle, no words none."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    if len(words) <= n:
-        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= n:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: -n] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str, n: int = WORDS) -> int:
+    """Signed 64-bit SimHash of the n-word shingles, repeats included."""
+    hashes = shingle_hashes(text, n)
     counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 

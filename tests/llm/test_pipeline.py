@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fabulary.llm import mixing, simhash
+from fabulary.llm import mixing, shingles, simhash
 
 
 def test_stages(spark, tmp_path):
@@ -74,6 +74,30 @@ def test_near_duplicates_with_clashing_ids(spark):
     assert kept([(3, text(1)), (5, text(1)), (5, text(2)), (7, text(2)), (5, text(2))]) == [(3, text(1)), (5, text(2))]
 
 
+def test_edited_copies_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(30):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 40, 120, 700]))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8):
+            other = [rng.choice(["new", "words"]) if rng.random() < edits / 60 else w for w in words]
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    texts += ["", " ", None, "Some Few words", "some few words"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()}
+    assert kept == set(label) and len(kept) < simhash.keep_one(docs).count()
+    base, groups = shingles.grouped(docs)
+    assert {r.doc_id: r.component_id for r in base.join(groups, "fp").collect()} == dict(enumerate(label))
+
+
 def test_repeated_rows_are_mixed_apart(spark):
     rows = [(1, "a b c", None)] * 3 + [(None, "d e", "s"), (None, "f g", "s"), (2, "h", None), (3, "", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
