@@ -336,6 +336,12 @@ def test_html_blocks_and_references(spark):
     assert text("<div>" * 3000 + "deep") == "deep" and text("") == ""
 
 
+def test_pages_without_article_keep_all_blocks():
+    text = lambda h: html_text.main_text(html_text.parse(h))
+    assert text(f"<h1>T</h1><p>intro</p><blockquote>{'q ' * 200}</blockquote><p>end</p>").split("\n\n")[::3] == ["T", "end"]
+    assert text(f"<div>{'a ' * 300}</div><div>{'b ' * 100}</div><nav>menu</nav>").count("b") == 100
+
+
 def test_simple_tree_matching():
     leaf = lambda tag, t=0: (tag, t, [])
     a = (1, 0, [leaf(2, 7), leaf(3, 8), leaf(2, 9)])
