@@ -342,6 +342,29 @@ def test_pages_without_article_keep_all_blocks():
     assert text(f"<div>{'a ' * 300}</div><div>{'b ' * 100}</div><nav>menu</nav>").count("b") == 100
 
 
+def test_long_and_deep_pages():
+    leaf = lambda t, tag=2: (tag, t, [])
+    row = lambda t: (4, 0, [leaf(t)])
+    many = [leaf(k % 7 + 1, 2 + k % 3) if k % 2 else row(k) for k in range(400)]
+    a, b = (1, 0, many), (1, 0, [leaf(99, 3), *many[:150], row(999), *many[153:]])
+    got, votes = html_text.match(a, b), html_text.agreed(a, b)
+    assert len(got[1]) == 398 and sum(x is y for x, y, _ in got[1]) == 397 and len(votes) > 200
+    assert html_text.match((1, 0, many[:250]), b)[0] == _by_rows((1, 0, many[:250]), b)
+    for depth in (110, 130, 3000):
+        page = "<article><p>one</p>" + "<div>" * depth + "<nav>menu</nav>in" + "</div>" * depth + "<p>two</p></article><p>out"
+        assert html_text.main_text(html_text.parse(page)) == "one\n\nin\n\ntwo"
+        tree = html_text._tree(*html_text.outline(html_text.parse(page)))
+        assert len(html_text.agreed(tree, tree)) == 5
+
+
+def _by_rows(a, b):
+    old, html_text.CELLS = html_text.CELLS, 10**9
+    try:
+        return html_text.match(a, b)[0]
+    finally:
+        html_text.CELLS = old
+
+
 def test_simple_tree_matching():
     leaf = lambda tag, t=0: (tag, t, [])
     a = (1, 0, [leaf(2, 7), leaf(3, 8), leaf(2, 9)])
