@@ -3,15 +3,17 @@
 The vocabulary is a rank file (base64 token, rank per line). Bytes are written as printable characters so that
 the library's BPE model can work on them; every pair of tokens whose concatenation is a token becomes a merge with
 the rank of that token, which is the rule by which a rank file is applied. Each match of the split pattern is
-encoded alone, and equal chunks of text are encoded once per task while the cache lasts.
+encoded alone. Chunks of text met before come from a cache that is bounded in bytes; it costs or saves time only.
 
 Cases: a null text is the empty one and has no tokens; special-token strings inside a text are ordinary text; an
-output column replaces an input column of the same name; rows, ties and repeats pass through one to one.
+output column replaces an input column of the same name; rows, ties and repeats pass through one to one; an empty
+table gives no rows; a long text is split and encoded as a whole, alone in its slice of a batch.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -23,11 +25,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulary.llm.common import table, text_of
+from fabulary.llm.common import parts, table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Chunks kept per worker; a full cache is emptied, which costs time only.
-CACHE_CHUNKS = 120_000
+#: Bytes of the chunks that a worker keeps, and what an entry takes besides its text; longer chunks are never kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 16_000_000, 180, 64
 #: A blank after white space does not start a chunk of its own.
 _INNER_SPACE = re.compile(r"\s |\s\Z")
 _CHUNK = re.compile(r"(?<=\S)(?= )")
@@ -46,6 +48,7 @@ class Codec:
     """One vocabulary in one worker."""
 
     def __init__(self, path: str, pattern: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads; each of the library's own holds memory
         from tokenizers import Tokenizer, models
 
         with open(path, "rb") as lines:
@@ -65,8 +68,9 @@ class Codec:
         self.token_bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in vocab.items():
             self.token_bytes[rank] = bytes(to_byte[c] for c in token)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young chunks
 
     def _parts(self, text: str) -> list[str]:
         """Chunks that the pattern never joins: it has no match with a blank right after a visible character."""
@@ -82,36 +86,39 @@ class Codec:
             return [stem] if len(stem) == len(chunk) else [stem, chunk[len(stem) :]]
         return self.split.findall(chunk)
 
-    def _learn(self, needed: set[str]) -> None:
-        chunks, pieces, split, new = self.chunks, self.pieces, {}, []
-        if len(chunks) > CACHE_CHUNKS:
-            self.forget()
-        for chunk in needed.difference(chunks):
+    def _learn(self, needed: set[str]) -> dict[str, bytes]:
+        """Ids of the chunks. Those met lately are kept in two halves: a full young half becomes the old one."""
+        out, split, new = {}, {}, {}
+        for chunk in needed:
+            ids = self.young.get(chunk)
+            if ids is None and (ids := self.old.get(chunk)) is not None:
+                self._keep(chunk, ids)
+            if ids is not None:
+                out[chunk] = ids
+                continue
             own = split[chunk] = self._pieces_of(chunk)
             for piece in own:
-                if piece not in pieces:
-                    pieces[piece] = b""
-                    new.append(piece)
+                new[piece] = b""
         mapped = [p.encode().decode("latin-1").translate(self.to_char) for p in new]
-        for piece, got in zip(new, self.model.encode_batch_fast(mapped, add_special_tokens=False)):
-            pieces[piece] = array("I", got.ids).tobytes()
+        for piece, got in zip(list(new), self.model.encode_batch_fast(mapped, add_special_tokens=False)):
+            new[piece] = array("I", got.ids).tobytes()
         for chunk, own in split.items():
-            chunks[chunk] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+            ids = out[chunk] = new[own[0]] if len(own) == 1 else b"".join([new[p] for p in own])
+            if len(chunk) <= LONG_CHUNK:
+                self._keep(chunk, ids)
+        return out
 
-    def forget(self) -> None:
-        """Empties the cache: a worker outlives its task, and later stages need the memory."""
-        self.chunks.clear()
-        self.pieces.clear()
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self.young[chunk] = ids
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
+        if self.held > CACHE_BYTES // 2:
+            self.young, self.old, self.held = {}, self.young, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for at in range(0, len(texts), 500):
-            split = [self._parts(t) for t in texts[at : at + 500]]
-            self._learn(set().union(*split))
-            known = self.chunks
-            out += [b"".join([known[c] for c in parts]) for parts in split]
-        return out
+        split = [self._parts(t) for t in texts]
+        known = self._learn(set().union(*split))
+        return [b"".join([known[c] for c in parts_]) for parts_ in split]
 
     def decode(self, ids: bytes) -> bytes:
         own = self.token_bytes
@@ -139,12 +146,6 @@ def _default() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def _slices(batch: pa.Array, rows: int = 500) -> Iterator[list]:
-    """The values of a batch, a few at a time: one long batch is never held as Python objects."""
-    for at in range(0, len(batch), rows):
-        yield batch.slice(at, rows).to_pylist()
-
-
 def token_ids(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """BINARY: the ids of a text as little-endian unsigned 32-bit integers, the form in which training shards hold them."""
     path, pattern = path or _default()[0], pattern or _default()[1]
@@ -152,8 +153,8 @@ def token_ids(text: Column, path: str | None = None, pattern: str | None = None)
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            yield pa.array([ids for part in _slices(batch) for ids in own.encode([x or "" for x in part])], pa.binary())
+        for part in parts(batches):
+            yield pa.array(own.encode([x or "" for x in part.to_pylist()]), pa.binary())
 
     return encode(text)
 
@@ -165,8 +166,8 @@ def token_starts(ids: Column, path: str | None = None, pattern: str | None = Non
     @F.arrow_udf("array<int>")
     def starts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            yield pa.array([own.starts(x or b"") for x in batch.to_pylist()], pa.list_(pa.int32()))
+        for part in parts(batches):
+            yield pa.array([own.starts(x or b"") for x in part.to_pylist()], pa.list_(pa.int32()))
 
     return starts(ids)
 
@@ -178,8 +179,8 @@ def token_bytes(ids: Column, path: str | None = None, pattern: str | None = None
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            yield pa.array([own.decode(x or b"") for x in batch.to_pylist()], pa.binary())
+        for part in parts(batches):
+            yield pa.array([own.decode(x or b"") for x in part.to_pylist()], pa.binary())
 
     return decode(ids)
 
@@ -191,8 +192,8 @@ def token_text(ids: Column, path: str | None = None, pattern: str | None = None)
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            yield pa.array([own.decode(x or b"").decode("utf-8", "replace") for x in batch.to_pylist()], pa.string())
+        for part in parts(batches):
+            yield pa.array([own.decode(x or b"").decode("utf-8", "replace") for x in part.to_pylist()], pa.string())
 
     return decode(ids)
 
@@ -204,10 +205,9 @@ def coded(text: Column, path: str | None = None, pattern: str | None = None) ->
     @F.arrow_udf("ids binary, decoded binary")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for part in (part for batch in batches for part in _slices(batch)):
-            ids = own.encode([t or "" for t in part])
+        for part in parts(batches):
+            ids = own.encode([t or "" for t in part.to_pylist()])
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["ids", "decoded"])
-        own.forget()
 
     return both(text)
 

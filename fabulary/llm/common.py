@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts(batches: Iterator[pa.Array], most: int = 1 << 18) -> Iterator[pa.Array]:
+    """The values of all batches, in slices of at most so many bytes (one long value alone): workers hold no more than that as Python objects."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = done = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+    pa.default_memory_pool().release_unused()

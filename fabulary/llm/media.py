@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulary.llm.common import table, text_of
+from fabulary.llm.common import parts, table, text_of
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -131,8 +131,8 @@ def as_png(data: Column, level: int = 6) -> Column:
 
     @F.arrow_udf("binary")
     def write(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([write_png(pad(x or b""), level) for x in batch.to_pylist()], pa.binary())
+        for part in parts(batches):
+            yield pa.array([write_png(pad(x or b""), level) for x in part.to_pylist()], pa.binary())
 
     return write(data.cast("binary"))
 
@@ -142,9 +142,9 @@ def png_features(media: Column) -> Column:
 
     @F.arrow_udf("payload binary, hash binary")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for part in parts(batches):
             payloads, hashes = [], []
-            for media in batch.to_pylist():
+            for media in part.to_pylist():
                 try:
                     image = None if media is None else read_png(media)
                 except ValueError:

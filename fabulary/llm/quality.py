@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulary.llm.common import crc_mod, table, text_of
+from fabulary.llm.common import crc_mod, parts, table, text_of
 
 SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 12_000_000
 VECTOR, FILTERS, SHAPES = 8, 16, 16
@@ -184,9 +184,8 @@ def score(text: Column, network: Network) -> Column:
 
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = (batch.slice(at, 500).to_pylist() for at in range(0, len(batch), 500))
-            yield pa.array(np.concatenate([network.scores([(t or "").encode() for t in part]) for part in parts] or [np.zeros(0)]), pa.float64())
+        for part in parts(batches, _PASS):
+            yield pa.array(network.scores([(t or "").encode() for t in part.to_pylist()]), pa.float64())
 
     return rate(text)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fabulary.llm.common import cut, table, text_of
+from fabulary.llm.common import cut, parts, table, text_of
 
 WORDS, RADIUS, SEED = 3, 2, 42
 #: Values above which a bucket is split, and rows that a shard of buckets holds on average.
@@ -59,9 +59,8 @@ def simhash(text: Column, n: int = WORDS) -> Column:
 
     @F.arrow_udf("long")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = [fingerprint(t or "", n) for at in range(0, len(batch), 500) for t in batch.slice(at, 500).to_pylist()]
-            yield pa.array(out, pa.int64())
+        for part in parts(batches):
+            yield pa.array([fingerprint(t or "", n) for t in part.to_pylist()], pa.int64())
 
     return make(text)
 
