@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from fabulary.llm import bpe, fingerprint, html_text, media, mixing, quality, queries, secret_scan, sharding, simhash, suffix_tree
+from fabulary.llm import bpe, fingerprint, html_text, media, mixing, quality, queries, secret_scan, sharding, simhash
 
 WORDS = "alpha beta gamma delta river stone letter window garden paper mirror summer".split()
 #: Names that operators use inside, as columns of the input.
@@ -264,35 +264,6 @@ def test_png_filters():
         assert (media.unfilter(kinds, lines, bpp) == want).all()
 
 
-def test_tree_probabilities_sum_to_one(spark):
-    docs = documents(spark, [prose(i, 60) for i in range(40)], clash=False).withColumn("train", F.col("doc_id") % 4 != 0)
-    vocabulary = docs.where("train").select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.col("w").cast("binary").alias("word")).agg(F.count("*").alias("n"))
-    tree = suffix_tree.learn(vocabulary)
-    for context in (b" ", b" r", b" riv", b"zzz"):
-        key = np.full(256, int.from_bytes(context, "big"), np.uint64)
-        p = tree.predict(key, np.full(256, len(context)), np.arange(256))
-        assert p.sum() == pytest.approx(1.0)
-    assert sum(len(c) for c in tree.contexts) > 20
-    rows = suffix_tree.score_documents(docs).collect()
-    held = [r for r in rows if r.held_out]
-    assert len(held) == 10 and all(r.score < 0 for r in rows)
-    assert sum(r.score for r in held) > 1.01 * sum(r.base_score for r in held)
-
-
-def test_base_score_against_brute_force(spark):
-    docs = documents(spark).withColumn("train", F.col("doc_id") % 3 != 0)
-    rows = {r.doc_id: r for r in suffix_tree.score_documents(docs).collect()}
-    tokens = [[w for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + ["\n"] for t in TEXTS]
-    seen = {}
-    for i, ts in enumerate(tokens):
-        for t in ts if i % 3 else ():
-            seen[t] = seen.get(t, 0) + 1
-    n, v = sum(seen.values()), len(seen)
-    for i, ts in enumerate(tokens):
-        assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (len(ts), sum(t in seen for t in ts), n)
-        assert rows[i].base_score == pytest.approx(sum(math.log10((seen.get(t, 0) + 1) / (n + v + 1)) for t in ts))
-
-
 def test_fingerprints_of_edited_and_next(spark):
     texts = [prose(i, 400) for i in range(9)] + [None, "", "ab", prose(0, 400)]
     rows = fingerprint.beside_next(documents(spark, texts)).orderBy("doc_id").collect()
@@ -342,35 +313,92 @@ def test_pages_without_article_keep_all_blocks():
     assert text(f"<div>{'a ' * 300}</div><div>{'b ' * 100}</div><nav>menu</nav>").count("b") == 100
 
 
+def renamed(i):
+    """A page of which no element name and no class tells what it is."""
+    text = page(i).replace(' class="reader-comments"', "").replace(" id='x'", "")
+    for tag in ("nav", "aside", "footer", "article"):
+        text = text.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+    links = "".join(f"<li><a href=/{k}>{prose(77 * i + k, 2)}</a>" for k in range(6))
+    return text.replace("<li>Home", links).replace("buy", prose(9_000 + i, 2)).replace("&copy;", f"&copy; {prose(8_000 + i, 3)}")
+
+
+def test_wrapper_finds_the_content_of_nameless_elements(spark):
+    pages = [(i, f"http://c.example/{i}", renamed(i)) for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, html in pages:
+        want = [f"Title {i}"] + re.findall(r"<p>([^<]{60,})</p>", html)
+        assert got[i] == "\n\n".join(want)
+        assert got[i] != html_text.main_text(html_text.parse(html)) and "Welcome" not in got[i]
+
+
+def test_copies_never_make_a_template(spark):
+    pages = [(i, "http://d.example/", renamed(3 if i < 40 else i)) for i in range(60)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0].startswith("Title 3\n\n") and len(got[0].split("\n\n")) > 2 and len({got[i] for i in range(40)}) == 1
+
+
+def test_small_hosts_take_the_common_wrapper(spark):
+    pages = [(i, f"http://h{i // 3}.example/", renamed(i)) for i in range(24)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith(f"Title {i}\n\n") and "Welcome" not in got[i] for i in range(24))
+
+
+def test_marks_and_math_inside_an_article():
+    text = lambda h: html_text.main_text(html_text.parse(h))
+    kept = '<div class="article-header"><h1>T</h1></div><p class="reader">one</p><p>x <math><mi>y</mi></math></p>'
+    assert text(f'<article>{kept}</article><article class="comment"><p>no</p></article>') == "T\n\none\n\nx y"
+
+
 def test_long_and_deep_pages():
-    leaf = lambda t, tag=2: (tag, t, [])
-    row = lambda t: (4, 0, [leaf(t)])
-    many = [leaf(k % 7 + 1, 2 + k % 3) if k % 2 else row(k) for k in range(400)]
-    a, b = (1, 0, many), (1, 0, [leaf(99, 3), *many[:150], row(999), *many[153:]])
-    got, votes = html_text.match(a, b), html_text.agreed(a, b)
-    assert len(got[1]) == 398 and sum(x is y for x, y, _ in got[1]) == 397 and len(votes) > 200
-    assert html_text.match((1, 0, many[:250]), b)[0] == _by_rows((1, 0, many[:250]), b)
+    import html
+
+    many = "".join(f"<div><p>{prose(i, 6)}</p></div>" for i in range(300))
+    a, b = (html_text.slots([html_text.parse(f"<body>{x}</body>")]) for x in (many, many[:2_000] + "<div><b>new</b></div>" + many[2_000:]))
+    pairs = html_text.match(a, b)[1][0][2]
+    assert len(pairs) >= 299 and html.unescape("&amp;") == "&"
     for depth in (110, 130, 3000):
         page = "<article><p>one</p>" + "<div>" * depth + "<nav>menu</nav>in" + "</div>" * depth + "<p>two</p></article><p>out"
         assert html_text.main_text(html_text.parse(page)) == "one\n\nin\n\ntwo"
-        tree = html_text._tree(*html_text.outline(html_text.parse(page)))
-        assert len(html_text.agreed(tree, tree)) == 5
+        wrapper = html_text.load(html_text.dump(html_text.slots([html_text.parse(page)])))
+        for _ in range(5):
+            html_text.merge(wrapper, html_text.slots([html_text.parse(page)]))
+        assert wrapper.pages == 6 and html_text.main_text(html_text.parse(page), html_text.judge(wrapper)) == "one\n\nin\n\ntwo"
+
+
+def test_simple_tree_matching_against_brute_force():
+    rng = random.Random(12)
+
+    def tree(depth):
+        made = html_text.Slot(rng.choice("abc"), rng.randrange(2), alike=[[rng.randrange(3), 1]] * 3)
+        made.kids = [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        return made
+
+    def best(a, b):
+        if a.tag != b.tag:
+            return 0
+
+        def ways(i, j):
+            if i == len(a.kids) or j == len(b.kids):
+                return 0
+            return max(ways(i + 1, j), ways(i, j + 1), best(a.kids[i], b.kids[j]) + ways(i + 1, j + 1))
+
+        return html_text._worth(a, b) + ways(0, 0)
 
+    def worth(a, b, pairs):
+        return html_text._worth(a, b) + sum(worth(x, y, p) for x, y, p in pairs)
 
-def _by_rows(a, b):
-    old, html_text.CELLS = html_text.CELLS, 10**9
-    try:
-        return html_text.match(a, b)[0]
-    finally:
-        html_text.CELLS = old
+    for _ in range(150):
+        a, b = tree(3), tree(3)
+        got, pairs = html_text.match(a, b)
+        assert got == best(a, b) and (a.tag != b.tag or worth(a, b, pairs) == got)
 
 
-def test_simple_tree_matching():
-    leaf = lambda tag, t=0: (tag, t, [])
-    a = (1, 0, [leaf(2, 7), leaf(3, 8), leaf(2, 9)])
-    b = (1, 0, [leaf(3, 8), leaf(2, 5), leaf(2, 9)])
-    assert html_text.match(a, b)[0] == 9
-    assert len(html_text.agreed(a, b)) == 2
+def test_merged_wrappers_count_all_pages():
+    pages = [html_text.slots([html_text.parse(page(i))]) for i in range(12)]
+    one = html_text.load(html_text.dump(pages[0]))
+    for p in pages[1:]:
+        html_text.merge(one, p)
+    assert one.pages == 12 and html_text.mass(one) == sum(html_text.mass(html_text.slots([html_text.parse(page(i))])) for i in range(12))
 
 
 def test_quality_learns_held_out_texts(spark):
