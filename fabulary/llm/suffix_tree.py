@@ -12,11 +12,12 @@ No task and no driver holds the tree. Documents are written once as blocks, in a
 passes read without a shuffle. In the pass of each level a block sends its distinct (context, symbol) pairs with their
 counts to buckets of contexts; buckets sum them, test the contexts and answer each block what it asked, in its order.
 Only contexts that the level before has seen LEAST times go on to the next. A context with more than HOT predictions is
-dealt to several buckets by its symbols, whose parts of the test are summed afterwards.
+dealt to several buckets by its symbols, whose parts of the test are summed afterwards. From the second level on, symbols
+that the context one word shorter has seen once at most are pooled: they give their whole count to the shorter state.
 
 Words and contexts are told apart by 64-bit hashes, the symbols after one context by 32 bits. In the divergence test a
-shorter state's probability is rounded to an eighth of a nat, and a hot context's number of different symbols is that of
-a part times the parts.
+shorter state's probability is rounded to an eighth of a nat, and what a hot context leaves to the shorter state is
+taken as that of a part times the parts.
 
 Cases: a null text is the empty one, which is only its end; without training documents all words are unknown and have
 probability 1; rows without an id, ties and repeated rows are documents of their own; an empty table gives no rows; a
@@ -46,7 +47,9 @@ BLOCK, BUCKET, HOT = 10_000_000, 8_000_000, 200_000
 #: Nats between two steps of a rounded probability.
 STEP = 0.125
 _U = np.uint64
-_END, _START, _UNKNOWN = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), np.uint32(0)
+_END, _START = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: The symbol of unknown words and of those that are pooled.
+_POOLED = np.uint32(0)
 _FACTOR = 0x5851F42D4C957F2D
 _PART = 1_000_000
 
@@ -144,8 +147,8 @@ def _rising(a: np.ndarray) -> bytes:
 
 
 _ASKED = "bucket int, block long, n int, groups int, keys binary, runs binary, symbols binary, counts binary, short binary, hot binary"
-_TOLD = "block long, level int, bucket int, n int, groups int, counts binary, states binary, hot array<struct<c:long,g:long,gain:double,kinds:long>>"
-_HOT = pa.list_(pa.struct([("c", pa.int64()), ("g", pa.int64()), ("gain", pa.float64()), ("kinds", pa.int64())]))
+_TOLD = "block long, level int, bucket int, n int, groups int, counts binary, states binary, hot array<struct<c:long,g:long,gain:double,left:long>>"
+_HOT = pa.list_(pa.struct([("c", pa.int64()), ("g", pa.int64()), ("gain", pa.float64()), ("left", pa.int64())]))
 _HOT_ROW = np.dtype([("at", np.uint32), ("c", np.uint64), ("total", np.uint64)])
 
 
@@ -173,7 +176,7 @@ class Block:
         n = max(facts.total, 1)
         unknown = facts.discount * facts.distinct / n if facts.total else 1.0
         self.p = np.where(self.count > 0, (self.count - facts.discount) / n, unknown)
-        self.symbol = np.where(self.count > 0, (self.words >> _U(32)).astype(np.uint32), _UNKNOWN)
+        self.symbol = np.where(self.count > 0, np.maximum((self.words >> _U(32)).astype(np.uint32), 1), _POOLED)
         self.context = np.concatenate([np.array([_START]), self.words[:-1]])
         self.context[self.starts] = _START
         self.total = np.concatenate([[0], self.count[:-1]])
@@ -213,7 +216,7 @@ class Block:
             }
 
     def climb(self, counts: np.ndarray, states: np.ndarray, hot: dict[int, int]) -> None:
-        """What a level told: the count of each pair, and of each group 0 or twice the context's different symbols, plus 1 if it is a state."""
+        """What a level told: the count of each pair, and of each group twice what it leaves to the shorter state, in quarters, plus 1 if it is a state."""
         self.pairs()
         state = states[self.group].astype(np.int64)
         if self.is_hot.any():
@@ -222,10 +225,11 @@ class Block:
             state[self.is_hot] = np.array([hot[x] for x in own.view(np.int64).tolist()], np.int64)[nth]
         n = counts[self.pair].astype(np.int64)
         p = self.p[self.open]
-        smooth = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * (state >> 1) * p) / self.total[self.open]
+        smooth = (np.maximum(n - DISCOUNT, 0) + (state >> 1) / 4 * p) / self.total[self.open]
         self.p[self.open] = np.where(state & 1, smooth, p)
         seen = np.zeros(len(self.words), np.int64)
         seen[self.open] = n
+        self.symbol = np.where(seen > 1, self.symbol, _POOLED)
         with np.errstate(over="ignore"):
             longer = mixed(self.context * _U(_FACTOR) ^ self.words)
         self.context[1:], self.total[1:] = longer[:-1], seen[:-1]
@@ -250,7 +254,7 @@ def _restored(docs: pa.Table, told: pa.Table | None, facts: Facts | None, levels
             block.root(counts, facts)
             continue
         states = join([_decode(r["states"], r["groups"], np.uint64) for r in mine if r["bucket"] >= 0])
-        block.climb(counts, states, {h["c"]: h["kinds"] for r in mine if r["bucket"] < 0 for h in r["hot"]})
+        block.climb(counts, states, {h["c"]: h["left"] for r in mine if r["bucket"] < 0 for h in r["hot"]})
     return block
 
 
@@ -303,23 +307,26 @@ def _test_contexts(asked: pa.Table, level: int) -> pa.Table:
         total[where], context[where] = hot["total"], hot["c"]
         parts[where] = -(-hot["total"].astype(np.int64) // HOT)
         ends.append((at, at := at + len(mine)))
-    kinds = np.bincount(of, n > 0, len(groups))
-    gain = np.bincount(of, _left_out(n, short, (kinds * parts)[of], total[of]), len(groups))
-    states = np.where(parts > 1, 0, kinds * 2 + (gain > DIVERGENCE)).astype(np.uint64)
+    pooled = (keys & _U(0xFFFFFFFF)) == _POOLED
+    left = np.bincount(of, np.where(pooled, n, DISCOUNT * (n > 0)), len(groups))
+    gain = np.bincount(of, _left_out(n, pooled, short, (left * parts)[of], total[of]), len(groups))
+    states = np.where(parts > 1, 0, left * 8 + (gain > DIVERGENCE)).astype(np.uint64)
+    n = np.where(pooled, 0, n)
     told, done = [], 0
     for r, (a, b) in zip(rows, ends):
         mine = nth[a:b][parts[nth[a:b]] > 1]
-        hot = [{"c": c, "g": g, "gain": w, "kinds": k} for c, g, w, k in zip(context[mine].view(np.int64).tolist(), groups[mine].view(np.int64).tolist(), gain[mine].tolist(), kinds[mine].astype(np.int64).tolist())]
+        hot = [{"c": c, "g": g, "gain": w, "left": k} for c, g, w, k in zip(context[mine].view(np.int64).tolist(), groups[mine].view(np.int64).tolist(), gain[mine].tolist(), (left[mine] * 4).astype(np.int64).tolist())]
         told.append({"block": r["block"], "level": level, "bucket": r["bucket"], "n": r["n"], "groups": r["groups"], "counts": _code(n[pair[done : done + r["n"]]].astype(np.uint64)), "states": _code(states[nth[a:b]]), "hot": hot})
         done += r["n"]
     kinds_ = {"block": pa.int64(), "level": pa.int32(), "bucket": pa.int32(), "n": pa.int32(), "groups": pa.int32(), "counts": pa.binary(), "states": pa.binary(), "hot": _HOT}
     return pa.Table.from_pylist(told, pa.schema(kinds_))
 
 
-def _left_out(n: np.ndarray, short: np.ndarray, kinds: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _left_out(n: np.ndarray, pooled: np.ndarray, short: np.ndarray, left: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Nats by which a context predicts its n occurrences of a symbol better than the shorter state does, each one left out in turn."""
-    rest = np.maximum(total - 1, 1)
-    p = np.where(n > 1, n - 1 - DISCOUNT + DISCOUNT * kinds * short, DISCOUNT * (kinds - 1) * short) / rest
+    kept = np.where(pooled | (n < 2), 0, n - 1 - DISCOUNT)
+    left = left - np.where(pooled, 1, DISCOUNT * (n == 1))
+    p = (kept + left * short) / np.maximum(total - 1, 1)
     return np.where(n > 0, n * np.log(np.maximum(p, 1e-300) / short), 0.0)
 
 
@@ -355,10 +362,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
 def _hot_states(told: DataFrame, level: int) -> DataFrame:
     """For each block, the hot contexts that it asked for, their parts summed up."""
     seen = told.select("block", F.explode("hot").alias("h")).select("block", "h.*")
-    whole = seen.select("c", "g", "gain", "kinds").distinct().groupBy("c").agg(F.sum("gain").alias("gain"), F.sum("kinds").alias("k"))
+    whole = seen.select("c", "g", "gain", "left").distinct().groupBy("c").agg(F.sum("gain").alias("gain"), F.sum("left").alias("k"))
     state = whole.select("c", (F.col("k") * 2 + (F.col("gain") > DIVERGENCE).cast("long")).alias("state"))
     asked = seen.select("block", "c").distinct().join(state, "c")
-    one = F.struct("c", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("gain"), F.col("state").alias("kinds"))
+    one = F.struct("c", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("gain"), F.col("state").alias("left"))
     none = F.lit(None).cast("binary")
     return asked.groupBy("block").agg(F.collect_list(one).alias("hot")).select(
         "block", F.lit(level).alias("level"), F.lit(-1).alias("bucket"), F.lit(0).alias("n"), F.lit(0).alias("groups"), none.alias("counts"), none.alias("states"), "hot"
