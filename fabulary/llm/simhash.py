@@ -1,25 +1,26 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a few differing bits by BK-trees.
 
-Fingerprints are made once per document and then handled as distinct values, so copies cost nothing. Two values
-that differ in at most two bits agree on at least two of four 16-bit bands; each value goes to the six buckets of its
-pairs of bands, and buckets lie together in shards of bounded size. Every bucket of a shard is a BK-tree, whose
-children are keyed by their Hamming distance to the parent and of which a search follows only the edges within the
-radius. Trees are built where their shard is and searched by that shard's values, because trees of all fingerprints
-have no size bound and can't be broadcast. A crowded bucket is split once more: two values of it differ in at most two
-of the other 32 bits, so they agree on at least one of three parts of those.
+Fingerprints are made once per document and then handled as distinct values, so copies cost nothing. The values are
+dealt to trees of about TREE values each, three trees a value: the bits are cut into three parts, and two values that
+differ in at most two bits agree on the whole of one part at least, so they meet in the tree whose key is made of the
+leading bits of that part. A crowded tree is dealt out again in the same way by the bits that its key leaves, twice at
+most. Several trees share a shard of bounded size; there each is a BK-tree, whose children are keyed by their Hamming
+distance to the parent and of which a search follows only the edges within the radius. A search of a tree of 1,024
+random values compares 45 of them. Trees are built where their shard is and searched by that shard's values, because
+trees of all fingerprints have no size bound and can't be broadcast.
 
 A value has at most 1 + 64 + 2016 values within two bits, so links stay linear in the values. Components grow by
 alternating large-star and small-star steps, each written to the checkpoint folder.
 
 Cases: a null text is the empty one; texts without words have fingerprint zero and link like any other; repeated
 rows share a component; a row without an id links like any other, and a component without any id has a null
-component_id; an empty table gives no rows.
+component_id; an empty table gives no rows; a long text is read whole; columns other than doc_id and text are never read
+and pass through keep_one as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from fabulary.llm.common import cut, parts, table, text_of
 
 WORDS, RADIUS, SEED = 3, 2, 42
-#: Values above which a bucket is split, and rows that a shard of buckets holds on average.
-CROWDED, SHARD_ROWS = 4_096, 100_000
+#: Values of a tree on average, values above which it is dealt out again and by how many bits, rows of a shard on average.
+TREE, CROWDED, FINER, SHARD_ROWS = 1_024, 8_192, 10, 50_000
 _QUERIES = 4_096
 
 
@@ -90,12 +91,14 @@ class BkForest:
         key = joined(parents) * 65 + joined(distances)
         order = np.argsort(key, kind="stable")
         self.key, self.child = key[order], joined(children)[order]
+        self.compared = 0
 
     def pairs(self, places: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, smaller place) of all values of the same bucket within the radius."""
         found_a, found_b = [], []
         who, node = places, self.root[places]
         while len(who):
+            self.compared += len(who)
             apart = np.bitwise_count(self.value[who] ^ self.value[node]).astype(np.int64)
             hit = (apart <= radius) & (node < who)
             found_a.append(who[hit])
@@ -141,27 +144,42 @@ def _links(table: pa.Table, radius: int) -> pa.Table:
     return pa.table({"a": node[moved], "b": node[label[moved]]})
 
 
+def finer(mask: int, bits: int) -> list[int]:
+    """Three masks: the bits of one, and so many of each third of the others."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in rest[k::3][:bits]) for k in range(3)]
+
+
 def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b (a > b): links between nodes whose fingerprints are near, enough to join all that are. values: distinct `fp` with `node`."""
     if radius > 2:
-        raise ValueError("the bands are cut for a radius of at most 2")
-    band = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    kinds = list(combinations(range(4), 2))
-    key = F.array(*[F.struct(F.lit(k).alias("kind"), F.shiftleft(band[i], 16).bitwiseOR(band[j]).alias("bucket")) for k, (i, j) in enumerate(kinds)])
-    spread = values.withColumn("key", F.explode(key)).select("fp", "node", "key.kind", "key.bucket")
-    crowded = spread.groupBy("kind", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("kind", "bucket", F.lit(True).alias("crowded"))
-    rest = F.lit(None).cast("long")
-    for k, pair in enumerate(kinds):
-        i, j = (x for x in range(4) if x not in pair)
-        rest = F.when(F.col("kind") == k, F.shiftleft(band[i], 16).bitwiseOR(band[j])).otherwise(rest)
-    # Parts of 11, 11 and 10 bits; the bucket of a part holds the 32 bits of the pair above it.
-    parts = [F.shiftrightunsigned(rest, shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift, bits in ((0, 11), (11, 11), (22, 10))]
-    finer = F.array(*[F.struct((F.col("kind") + 6 * (p + 1)).alias("kind"), F.shiftleft("bucket", 11).bitwiseOR(part).alias("bucket")) for p, part in enumerate(parts)])
-    whole = F.array(F.struct(F.col("kind").alias("kind"), F.col("bucket").alias("bucket")))
-    split = spread.join(crowded, ["kind", "bucket"], "left").withColumn("key", F.explode(F.when(F.col("crowded"), finer).otherwise(whole)))
-    shards = max(1, values.count() * len(kinds) // SHARD_ROWS)
-    dealt = split.select("fp", "node", "key.kind", "key.bucket").withColumn("shard", F.pmod(F.xxhash64("kind", "bucket"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(lambda t: _links(t, radius), "a long, b long").distinct()
+        raise ValueError("the bits are cut for a radius of at most 2")
+    n = values.count()
+    masks = [finer(0, min(21, max(0, (n // TREE).bit_length())))]
+    for _ in range(2):
+        masks.append([m for mask in masks[-1] for m in finer(mask, FINER)])
+    known = [m for level in masks for m in level]
+    signed = F.array(*[F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in known])
+
+    def dealt(rows: DataFrame, kinds: Column) -> DataFrame:
+        made = rows.select("fp", "node", F.explode(kinds).alias("kind"))
+        return made.withColumn("bucket", F.col("fp").bitwiseAND(F.element_at(signed, F.col("kind") + 1)))
+
+    trees, first = [], 0
+    rows = dealt(values, F.array(*[F.lit(k) for k in range(3)]))
+    for level in range(len(masks) - 1):
+        crowded = rows.groupBy("kind", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("kind", "bucket")
+        crowded = cut(crowded)
+        trees.append(rows.join(crowded, ["kind", "bucket"], "left_anti"))
+        below = F.array(*[first + len(masks[level]) + (F.col("kind") - first) * 3 + k for k in range(3)])
+        first += len(masks[level])
+        rows = rows.join(crowded, ["kind", "bucket"], "left_semi").select("fp", "node", F.explode(below).alias("kind"))
+        rows = rows.withColumn("bucket", F.col("fp").bitwiseAND(F.element_at(signed, F.col("kind") + 1)))
+    for tree in trees:
+        rows = rows.unionByName(tree.select("fp", "node", "kind", "bucket"))
+    shards = max(1, n * 3 // SHARD_ROWS)
+    laid = rows.withColumn("shard", F.pmod(F.xxhash64("kind", "bucket"), F.lit(shards)))
+    return laid.groupBy("shard").applyInArrow(lambda t: _links(t, radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -182,8 +182,11 @@ def test_simhash_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
-def test_links_of_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWDED", 20)
+@pytest.mark.parametrize("crowded", [20, 10**6])
+def test_links_against_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "TREE", 50)
+    monkeypatch.setattr(simhash, "FINER", 3)
     rng = random.Random(9)
     base = rng.getrandbits(64)
     values = {base} | {base ^ (1 << a) ^ (1 << b) for a in range(0, 64, 5) for b in range(a)} | {rng.getrandbits(64) for _ in range(300)}
@@ -200,6 +203,28 @@ def test_links_of_crowded_buckets(spark, monkeypatch):
     assert [label.get(i, i) for i in range(len(values))] == want
 
 
+def test_keys_meet_within_the_radius():
+    rng = random.Random(2)
+    for _ in range(300):
+        mask = simhash.finer(0, 7)[rng.randrange(3)]
+        a = rng.getrandbits(64)
+        free = [b for b in range(64) if not mask >> b & 1]
+        b = a ^ (1 << rng.choice(free)) ^ (1 << rng.choice(free))
+        assert any(a & m == b & m for m in simhash.finer(mask, 10)) and any(a & m == b & m for m in simhash.finer(0, 21))
+
+
+def test_tree_searches_compare_few_values():
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 2**64, 3_000, np.uint64))
+    values = np.unique(np.concatenate([values, values[:50] ^ np.uint64(5)]))
+    forest = simhash.BkForest(np.zeros(len(values), np.int64), values)
+    a, b = forest.pairs(np.arange(len(values)), 2)
+    assert forest.compared < 0.05 * len(values) ** 2
+    apart = np.bitwise_count(values[:, None] ^ values[None, :])
+    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(apart <= 2)) if x > y}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) >= 50
+
+
 def test_secrets_against_python(spark):
     texts = TEXTS + [
         'api_key: "abcdefgh12" Token=short secret = secret: abcdefghij PASSWD:x/y+z=12345',
