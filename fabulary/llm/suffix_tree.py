@@ -15,7 +15,7 @@ Only contexts that the level before has seen LEAST times go on to the next. A co
 dealt to several buckets by its symbols, whose parts of the test are summed afterwards. From the second level on, symbols
 that the context one word shorter has seen once at most are pooled: they give their whole count to the shorter state.
 
-Words and contexts are told apart by 64-bit hashes, the symbols after one context by 32 bits. In the divergence test a
+Words and contexts are told apart by 64-bit hashes, the symbols after one context by 28 bits. In the divergence test a
 shorter state's probability is rounded to an eighth of a nat, and what a hot context leaves to the shorter state is
 taken as that of a part times the parts.
 
@@ -43,7 +43,7 @@ from fabulary.llm.common import crc_mod, cut, ensure_checkpoint_dir, partitions,
 #: Words of a context at most; least predictions of a state; nats by which it must predict better; discount of a count.
 DEPTH, LEAST, DIVERGENCE, DISCOUNT = 2, 2, 2.0, 0.75
 #: Bytes of text in a block, bytes of all texts for each bucket, predictions from which on a context is dealt out.
-BLOCK, BUCKET, HOT = 10_000_000, 8_000_000, 200_000
+BLOCK, BUCKET, HOT = 14_000_000, 8_000_000, 200_000
 #: Nats between two steps of a rounded probability.
 STEP = 0.125
 _U = np.uint64
@@ -176,7 +176,7 @@ class Block:
         n = max(facts.total, 1)
         unknown = facts.discount * facts.distinct / n if facts.total else 1.0
         self.p = np.where(self.count > 0, (self.count - facts.discount) / n, unknown)
-        self.symbol = np.where(self.count > 0, np.maximum((self.words >> _U(32)).astype(np.uint32), 1), _POOLED)
+        self.symbol = np.where(self.count > 0, np.maximum((self.words >> _U(36)).astype(np.uint32), 1), _POOLED)
         self.context = np.concatenate([np.array([_START]), self.words[:-1]])
         self.context[self.starts] = _START
         self.total = np.concatenate([[0], self.count[:-1]])

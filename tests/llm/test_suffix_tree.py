@@ -139,16 +139,13 @@ def test_scores_equal_plain_version(monkeypatch, hot):
         plain = Plain([t for t, x in zip(texts, train) if x], depth)
         got, seen = scored(blocks, depth)
         want = [plain.score(t, depth) for t in texts]
-        if hot > 7 or depth == 0:
-            assert got == pytest.approx(want)
-        else:  # the test of a hot context estimates what it leaves
-            assert seen and np.mean(np.isclose(got, want)) > 0.5 and sum(got) == pytest.approx(sum(want), rel=0.05)
+        assert got == pytest.approx(want) and bool(seen) == (hot == 7 and depth > 0)
 
 
 def test_states_sum_to_one():
     texts = [prose(i, 40) for i in range(30)]
     plain = Plain(texts, 2)
-    assert sum(map(len, plain.states)) > 20
+    assert sum(map(len, plain.states)) > 5
     events = [*plain.count, "a word that training lacks"]
     for c in [*plain.states[1], *plain.states[2]]:
         assert sum(plain.p(c, w, len(c)) for w in events) == pytest.approx(1.0)
