@@ -1,16 +1,19 @@
 """Secret scans in DataFrame functions only.
 
-Three patterns give base spans. Beyond them, long runs of key characters are judged by two first-order Markov models
-over characters, one of random strings and one of ordinary identifiers, trained on samples that the corpus labels
-itself: values inside base spans are random; long runs outside them whose parts between joining marks are letters
-alone or digits alone are ordinary. A run of unknown kind is a secret when the log-likelihood ratio per transition exceeds a margin.
+Three patterns give base spans. Beyond them, runs of 16 key characters or more are judged by two first-order Markov
+models over characters, one of random strings and one of ordinary identifiers, trained on samples that the corpus labels
+itself: values inside base spans are random; runs outside them whose parts between joining marks are numbers or words
+(letters of one case, or a capital before small ones) are ordinary. Every run is judged, also those samples: it is a
+secret when its log-likelihood ratio exceeds LEAST in sum and MARGIN per transition. What base spans leave of a run is a
+run of its own if it is long enough.
 
 Transitions are counted over all documents by a grouped sum whose result has at most as many rows as there are pairs
 of key characters; it becomes a literal array of the second step. Places are code points, ends are exclusive.
 
 Cases: a null text is the empty one and has no spans; matches of one kind do not overlap, those of different kinds may;
 repeated rows pass through one to one; an empty table gives no rows; without any sample both models are uniform and add
-nothing; an output column replaces an input column of the same name, other columns are kept.
+nothing; an output column replaces an input column of the same name, other columns are kept; a long text is read whole;
+of spans that start together the kind first named comes first; rows without an id are kept like others.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ ASSIGN_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex")
-RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ORDINARY = "^[+/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$"
+RUN_LENGTH = 16
+RUN = rf"[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}={{0,2}}"
+_PART = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
+ORDINARY = f"^[+/_=-]*{_PART}(?:[+/_=-]+{_PART})*[+/_=-]*$"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
-#: Log-likelihood ratio per transition above which a run counts as random, and the digits and letters it must have.
-MARGIN, LEAST = 0.35, 3
+#: Log-likelihood ratio per transition, and in sum, above which a run counts as random.
+MARGIN, LEAST = 0.35, 8.0
 #: Transitions that the single-character distribution counts for in each context.
 LEAN = 20.0
 MASK = "[SECRET]"
@@ -76,7 +81,16 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     hexes = _spans(t, HEX, t.rlike(HEX))
     base = F.array_sort(F.concat(_kind(assign, "assign"), _kind(access, "access"), _kind(hexes, "hex")))
     runs = _kind(_spans(t, RUN, t.rlike(RUN)), "random")
-    free = F.filter(F.col("runs"), lambda r: ~F.exists(F.col("base"), lambda b: (r["start"] < b["stop"]) & (b["start"] < r["stop"])))
+
+    def uncovered(r: Column) -> Column:
+        """The run, or what lies before the first and behind the last base span that it meets."""
+        met = F.filter(F.col("base"), lambda b: (r["start"] < b["stop"]) & (b["start"] < r["stop"]))
+        first, last = F.array_min(F.transform(met, lambda b: b["start"])), F.array_max(F.transform(met, lambda b: b["stop"]))
+        piece = lambda start, stop: F.struct(start.alias("start"), r["rank"].alias("rank"), stop.alias("stop"), r["kind"].alias("kind"), F.substring(r["value"], start - r["start"] + 1, F.greatest(stop - start, F.lit(0))).alias("value"))
+        left = F.array(piece(r["start"], first), piece(last, r["stop"]))
+        return F.when(F.size(met) == 0, F.array(r)).otherwise(F.filter(left, lambda x: F.length(x["value"]) >= RUN_LENGTH))
+
+    free = F.flatten(F.transform(F.col("runs"), uncovered))
     return df.withColumn("base", base).withColumn("runs", runs).withColumn("runs", free)
 
 
@@ -120,11 +134,9 @@ def _judged(found: DataFrame) -> DataFrame:
 
     def ratio(value: Column) -> Column:
         steps = F.sequence(F.lit(1), F.length(value) - 1)
-        total = F.aggregate(steps, F.lit(0.0), lambda sum_, i: sum_ + F.element_at(ratios, place(value, i) * len(ALPHABET) + place(value, i + 1) + 1))
-        return total / (F.length(value) - 1)
+        return F.aggregate(steps, F.lit(0.0), lambda sum_, i: sum_ + F.element_at(ratios, place(value, i) * len(ALPHABET) + place(value, i + 1) + 1))
 
-    mixed = lambda r: ~r["value"].rlike(ORDINARY) & (F.length(F.regexp_replace(r["value"], "[^0-9]", "")) >= LEAST) & (F.length(F.regexp_replace(r["value"], "[^A-Za-z]", "")) >= LEAST)
-    random = F.filter("runs", lambda r: F.when(mixed(r), ratio(r["value"]) > MARGIN).otherwise(F.lit(False)))
+    random = F.filter("runs", lambda r: ratio(r["value"]) > F.greatest(F.lit(LEAST), MARGIN * (F.length(r["value"]) - 1)))
     return found.withColumn("spans", F.array_sort(F.concat("base", random)))
 
 

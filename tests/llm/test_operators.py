@@ -255,6 +255,32 @@ def test_secret_models_add_random_strings_only(spark):
     assert not any(extra(r) for r in rows[:63])
 
 
+def test_random_strings_of_all_kinds_are_found(spark):
+    rng = random.Random(18)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda: rng.choice(WORDS)
+    known = [f"secret: {draw(small + large + digits + '+/', 40)} {word()}_{word()}_{word()}_{word()} {word()}{word()}{word()}{word()}" for _ in range(150)]
+    found = {n: [draw(small + large + digits + "+/", n) for _ in range(40)] for n in (16, 24, 32, 64)} | {0: [draw(small + large, 24) for _ in range(40)]}
+    plain = [f"{word()}-{word()}-{word()}-{word()} {word()}{word()}{word()}{word()} {word()}_of_{word()}_and_{word()}" for _ in range(60)]
+    flat = [x for xs in found.values() for x in xs]
+    rows = secret_scan.scan(documents(spark, known + [f"see {x} now" for x in flat] + plain, clash=False)).orderBy("doc_id").collect()
+    hit = {x: [s["value"] for s in r.spans] == [x] for r, x in zip(rows[150:], flat)}
+    for n, xs in found.items():
+        assert sum(hit[x] for x in xs) >= (30 if n == 16 else 36), n
+    assert not any(s["kind"] == "random" for r in [*rows[:150], *rows[150 + len(flat) :]] for s in r.spans)
+
+
+def test_what_base_spans_leave_is_judged(spark):
+    rng = random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    known = [f"token = {token(40)} and internationalization_of_documents plus counterrevolutionaries" for _ in range(60)]
+    tail = "_" + token(30)
+    row = secret_scan.scan(documents(spark, [*known, "x " + "0123456789abcdef" * 2 + tail], clash=False)).where("doc_id = 60").first()
+    assert [(s["kind"], s["start"], s["stop"]) for s in row.spans] == [("hex", 2, 34), ("random", 34, 65)]
+
+
 def test_redaction_merges_overlaps(spark):
     df = documents(spark, ["x token=" + "ab" * 20 + " y", "clean", None], clash=False)
     got = [r.text for r in secret_scan.redact(secret_scan.scan(df)).orderBy("doc_id").collect()]
