@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ def _class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "\\]^-[" else "\\n" if c == "\n" else c for c in chars) + "]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, also where the body is evaluated for each element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def has_text(text: Column) -> Column:
+    """Whether anything but white space is in it; stops at the first such character."""
+    return text.rlike(r"(?U)\S")
+
+
+def class_chars(text: Column, chars: str) -> Column:
+    """Code points of a regular-expression class (what stands between its brackets)."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
+
+
 def visible_chars(text: Column) -> Column:
     """Code points that are not (Unicode) white space."""
     return F.length(F.regexp_replace(text, r"(?U)\s", ""))
@@ -24,7 +41,14 @@ def visible_chars(text: Column) -> Column:
 
 def sentences(text: Column, terminators: str = TERMINATORS) -> Column:
     """ARRAY<STRING>: the text cut at terminators, blank parts dropped."""
-    return F.filter(F.split(text, _class(terminators)), lambda s: visible_chars(s) > 0)
+    return F.filter(F.split(text, _class(terminators)), has_text)
+
+
+def sentence_lengths(text: Column, terminators: str = TERMINATORS) -> Column:
+    """ARRAY<INT>: visible characters of each sentence. White space goes once from the whole text, then it is cut."""
+    ends = "".join(c for c in terminators if c.isspace())
+    blank = rf"(?U)[\s&&[^{_class(ends)[1:-1]}]]+" if ends else r"(?U)\s+"
+    return F.filter(F.transform(F.split(F.regexp_replace(text, blank, ""), _class(terminators)), F.length), lambda n: n > 0)
 
 
 def quoted_chars(text: Column) -> Column:
@@ -36,17 +60,17 @@ def quoted_chars(text: Column) -> Column:
 def quote_units(text: Column) -> Column:
     """ARRAY<STRING>: what stands between an opening mark and a closing mark, a line end or the end."""
     spans = F.regexp_extract_all(text, F.lit('[“「『"]([^”」』"\\n]*)["”」』\\n]?'), F.lit(1))
-    return F.filter(spans, lambda s: visible_chars(s) > 0)
+    return F.filter(spans, has_text)
 
 
 def dash_units(text: Column) -> Column:
     """ARRAY<STRING>: lines that open with a dash and hold no quotation mark, without the dash."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[—–]+") & ~x.rlike('[“「『"]'))
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*[—–]+", "")), lambda s: visible_chars(s) > 0)
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*[—–]+", "")), has_text)
 
 
 def cjk_chars(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{CJK}]"))
+    return class_chars(text, CJK)
 
 
 def top_level_section(path: Column) -> Column:
@@ -69,8 +93,10 @@ def clauses(sentence: Column) -> Column:
     return F.regexp_count(sentence, F.lit(_class(CLAUSE_MARKS))) + 1
 
 
-def syllables(word: Column) -> Column:
-    return F.greatest(F.regexp_count(F.lower(word), F.lit("[aeiouy]+")), F.lit(1))
+def syllables(text: Column) -> Column:
+    """Syllables of the Latin words of a text: its groups of vowels, and one for each word that has none."""
+    mute = "(?<![A-Za-z])[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]++(?![A-Za-z])"
+    return F.regexp_count(text, F.lit("[aeiouyAEIOUY]+")) + F.regexp_count(text, F.lit(mute))
 
 
 def sentence_bucket(chars: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulary.functions.text import TERMINATORS, clamp, quoted_chars, ratio, sentences, visible_chars
+from fabulary.functions.text import TERMINATORS, class_chars, clamp, quoted_chars, ratio, sentence_lengths, visible_chars
 from fabulary.operators.segments import densely, segment_table
 
 # Fixed values.
@@ -28,7 +28,7 @@ def deviation(total: Column, squares: Column, n: Column) -> Column:
 
 def curve(seg: DataFrame, ment: DataFrame | None = None, terminators: str = TERMINATORS) -> DataFrame:
     """One point per segment. seg: blocks with segments; ment: mentions, where there are any."""
-    text, said = F.col("content"), F.transform(sentences(F.col("content"), terminators), visible_chars)
+    text, said = F.col("content"), sentence_lengths(F.col("content"), terminators)
     blocks = seg
     if ment is not None:
         blocks = seg.join(ment.groupBy("doc_id", "seq").agg(F.count("*").alias("entities")), ["doc_id", "seq"], "left")
@@ -38,7 +38,7 @@ def curve(seg: DataFrame, ment: DataFrame | None = None, terminators: str = TERM
         "seg",
         visible_chars(text).alias("char_count"),
         quoted_chars(text).alias("quoted"),
-        F.regexp_count(text, F.lit("[!！?？]")).alias("marks"),
+        class_chars(text, "!！?？").alias("marks"),
         (F.coalesce("entities", F.lit(0)) if ment is not None else F.lit(0)).alias("entities"),
         said.alias("said"),
     ).select(

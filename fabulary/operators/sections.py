@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulary.functions.text import quoted_chars, ratio, sentences, visible_chars
+from fabulary.functions.text import class_chars, quoted_chars, ratio, sentence_lengths, visible_chars
 from fabulary.operators.segments import densely, segment_table, with_segments
 from fabulary.operators.words import top_k
 
@@ -65,9 +65,9 @@ def partners(ment: DataFrame, k: int = TOP_PARTNERS) -> DataFrame:
 
 def arc(blk: DataFrame, ment: DataFrame) -> DataFrame:
     """Intensity of each segment: four signals, each scaled to 0-1 over the document, weighted."""
-    seg = with_segments(blk)
+    seg = blk if "seg" in blk.columns else with_segments(blk)
     content = F.col("content")
-    said = F.transform(sentences(content), visible_chars)
+    said = sentence_lengths(content)
     named = ment.groupBy("doc_id", "seq").agg(F.count("*").alias("entities"))
     curve = (
         seg.join(named, ["doc_id", "seq"], "left")
@@ -75,7 +75,7 @@ def arc(blk: DataFrame, ment: DataFrame) -> DataFrame:
         .agg(
             F.sum(visible_chars(content)).alias("char_count"),
             F.sum(quoted_chars(content)).alias("quoted"),
-            F.sum(F.regexp_count(content, F.lit("[!！?？]"))).alias("marks"),
+            F.sum(class_chars(content, "!！?？")).alias("marks"),
             F.sum(F.size(said)).alias("sentences"),
             F.sum(F.size(F.filter(said, lambda x: x <= SHORT_SENTENCE))).alias("short"),
             F.sum(F.coalesce("entities", F.lit(0))).alias("entities"),

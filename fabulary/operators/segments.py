@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulary.functions.text import top_level_section
+from fabulary.functions.text import let, top_level_section
 
 MIN_SECTIONS, CHUNKS = 3, 10
 
 
+def _placed(idx: Column, n_blocks: Column, rank: Column, n_top: Column, top: Column) -> dict[str, Column]:
+    """seg, label, n_segments and chunked of a block: the rank of its top section, or the tenth it lies in."""
+    chunk = F.least(F.floor(idx / F.ceil(n_blocks / F.lit(float(CHUNKS)))), F.lit(CHUNKS - 1)).cast("int")
+    chunked = n_top < MIN_SECTIONS
+    return {
+        "chunked": chunked,
+        "seg": F.when(chunked, chunk).otherwise(rank).cast("int"),
+        "label": F.when(chunked, F.concat((chunk + 1).cast("string"), F.lit(f"/{CHUNKS}"))).otherwise(top),
+        "n_segments": F.when(chunked, F.lit(CHUNKS)).otherwise(n_top).cast("int"),
+    }
+
+
 def with_segments(blk: DataFrame) -> DataFrame:
-    """blk with idx (place in its document), seg, label, n_segments and chunked."""
+    """blk with idx (place in its document), n_blocks, seg, label, n_segments and chunked. All windows share one shuffle by document."""
     doc, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("seq")
-    top = blk.withColumn("top", top_level_section(F.col("section_path")))
-    first = top.withColumn("first_seq", F.min("seq").over(Window.partitionBy("doc_id", "top")))
     ranked = (
-        first.withColumn("rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first_seq")) - 1)
-        .withColumn("n_top", F.max("rank").over(doc) + 1)
+        blk.withColumn("top", top_level_section(F.col("section_path")))
         .withColumn("idx", F.row_number().over(order) - 1)
         .withColumn("n_blocks", F.count("*").over(doc))
+        .withColumn("first_seq", F.min("seq").over(Window.partitionBy("doc_id", "top")))
+        .withColumn("rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first_seq")) - 1)
+        .withColumn("n_top", F.max("rank").over(doc) + 1)
     )
-    chunk = F.least(F.floor(F.col("idx") / F.ceil(F.col("n_blocks") / F.lit(float(CHUNKS)))), F.lit(CHUNKS - 1)).cast("int")
-    chunked = F.col("n_top") < MIN_SECTIONS
-    return (
-        ranked.withColumn("chunked", chunked)
-        .withColumn("seg", F.when(chunked, chunk).otherwise(F.col("rank")).cast("int"))
-        .withColumn("label", F.when(chunked, F.concat((chunk + 1).cast("string"), F.lit(f"/{CHUNKS}"))).otherwise(F.col("top")))
-        .withColumn("n_segments", F.when(chunked, F.lit(CHUNKS)).otherwise(F.col("n_top")).cast("int"))
-        .drop("first_seq", "rank", "n_top", "top")
-    )
+    return ranked.withColumns(_placed(*[F.col(c) for c in ("idx", "n_blocks", "rank", "n_top", "top")])).drop("first_seq", "rank", "n_top", "top")
+
+
+def numbered(blocks: Column) -> Column:
+    """The same columns as fields of each struct of an array that holds one document's blocks in order: no shuffle, no window."""
+    top = lambda b: top_level_section(b["section_path"])
+
+    def all_of(bs: Column, tops: Column) -> Column:
+        def one(b: Column, idx: Column) -> Column:
+            made = _placed(idx, F.size(bs), F.array_position(tops, top(b)) - 1, F.size(tops), top(b))
+            for name, value in {"idx": idx, "n_blocks": F.size(bs), **made}.items():
+                b = b.withField(name, value)
+            return b
+
+        return F.transform(bs, one)
+
+    return let(blocks, lambda bs: let(F.array_distinct(F.transform(bs, top)), lambda tops: all_of(bs, tops)))
 
 
 def segment_table(seg: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabulary.functions.lexicons import ASSERTIVE, FUNCTION_GROUPS, HEDGING, MARKS, PERSONS, PRONOUN_BLOCK_BEFORE
-from fabulary.functions.text import TERMINATORS, clauses, count_terms, ratio, round_half_up, sentences, visible_chars
+from fabulary.functions.text import TERMINATORS, class_chars, clauses, count_term, count_terms, ratio, round_half_up, sentence_lengths, sentences, visible_chars
 
 # Fixed values.
 STANCE_RATE, STANCE_LEAD = 6.0, 1.5
@@ -22,7 +20,7 @@ def rhythm(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
     """Sentence, clause and paragraph measures. The deviation is taken about the rounded mean."""
     said = sentences(F.col("content"), terminators)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = blk.select("doc_id", F.transform(said, visible_chars).alias("l"), total(F.transform(said, clauses)).alias("clauses"), visible_chars(F.col("content")).alias("chars"))
+    rows = blk.select("doc_id", sentence_lengths(F.col("content"), terminators).alias("l"), total(F.transform(said, clauses)).alias("clauses"), visible_chars(F.col("content")).alias("chars"))
     d = rows.groupBy("doc_id").agg(
         F.sum("chars").alias("char_count"),
         F.count("*").alias("paragraph_count"),
@@ -44,7 +42,7 @@ def rhythm(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
 
 def marks(blk: DataFrame, known: list[tuple[str, str]] = MARKS) -> DataFrame:
     """doc_id, mark, n, per_1000 for every mark, in one pass over the text."""
-    counts = [F.sum(F.regexp_count("content", F.lit(re.escape(m)))).alias(f"m{i}") for i, (m, _) in enumerate(known)]
+    counts = [F.sum(count_term(F.col("content"), m)).alias(f"m{i}") for i, (m, _) in enumerate(known)]
     d = blk.groupBy("doc_id").agg(F.sum(visible_chars(F.col("content"))).alias("chars"), *counts)
     each = F.array(*[F.struct(F.lit(m).alias("mark"), F.col(f"m{i}").alias("n")) for i, (m, _) in enumerate(known)])
     return d.select("doc_id", "chars", F.explode(each).alias("x")).select("doc_id", "x.mark", "x.n", round_half_up(ratio(F.col("x.n"), F.col("chars"), 1000.0), 2).alias("per_1000"))
@@ -52,7 +50,7 @@ def marks(blk: DataFrame, known: list[tuple[str, str]] = MARKS) -> DataFrame:
 
 def function_words(blk: DataFrame, groups: list[tuple[str, str]] = FUNCTION_GROUPS) -> DataFrame:
     """doc_id, group, n, per_1000."""
-    d = blk.groupBy("doc_id").agg(F.sum(visible_chars(F.col("content"))).alias("chars"), *[F.sum(F.regexp_count("content", F.lit(f"[{c}]"))).alias(f"g{i}") for i, (_, c) in enumerate(groups)])
+    d = blk.groupBy("doc_id").agg(F.sum(visible_chars(F.col("content"))).alias("chars"), *[F.sum(class_chars(F.col("content"), c)).alias(f"g{i}") for i, (_, c) in enumerate(groups)])
     each = F.array(*[F.struct(F.lit(g).alias("group"), F.col(f"g{i}").alias("n")) for i, (g, _) in enumerate(groups)])
     return d.select("doc_id", "chars", F.explode(each).alias("x")).select("doc_id", "x.group", "x.n", round_half_up(ratio(F.col("x.n"), F.col("chars"), 1000.0), 2).alias("per_1000"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions.lexicons import ADVERB_STOP_WORDS, PHRASE_STOP_POS
-from fabulary.functions.text import BUCKETS, TERMINATORS, cjk_chars, clamp, ratio, sentence_bucket, sentences, syllables, visible_chars
+from fabulary.functions.text import BUCKETS, TERMINATORS, cjk_chars, class_chars, clamp, ratio, sentence_bucket, sentence_lengths, sentences, syllables, visible_chars
 
 # Fixed values.
 TOP, TOP_PHRASES, MIN_PHRASE = 50, 30, 5
@@ -33,8 +33,7 @@ def sentence_rows(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
 
 def sentence_stats(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
     """Sentence count, mean length, and the four length buckets of each document; all in one pass, without a row per sentence."""
-    lengths = F.transform(sentences(F.col("content"), terminators), visible_chars)
-    rows = blk.select("doc_id", lengths.alias("l"))
+    rows = blk.select("doc_id", sentence_lengths(F.col("content"), terminators).alias("l"))
     in_bucket = lambda b: F.sum(F.size(F.filter("l", lambda x: sentence_bucket(x) == b)))
     names = dict(zip(BUCKETS, ("upto_20", "upto_50", "upto_100", "above_100")))
     made = rows.groupBy("doc_id").agg(
@@ -46,20 +45,20 @@ def sentence_stats(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
 
 
 def readability(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
-    """score, level and method of each document: by sentence length for Chinese, Flesch reading ease for Latin text."""
-    words = F.regexp_extract_all(F.col("content"), F.lit("[A-Za-z]+"), F.lit(0))
+    """score, level and method of each document: by sentence length for Chinese, Flesch reading ease for Latin text. One aggregate."""
+    text = F.col("content")
     per_block = blk.select(
         "doc_id",
-        cjk_chars(F.col("content")).alias("cjk"),
-        F.regexp_count("content", F.lit("[A-Za-z]")).alias("latin"),
-        F.size(sentences(F.col("content"), terminators)).alias("sentences"),
-        visible_chars(F.col("content")).alias("visible"),
-        F.size(words).alias("words"),
-        F.aggregate(F.transform(words, syllables), F.lit(0).cast("long"), lambda a, x: a + x).alias("syllables"),
+        cjk_chars(text).alias("cjk"),
+        class_chars(text, "A-Za-z").alias("latin"),
+        sentence_lengths(text, terminators).alias("l"),
+        F.regexp_count(text, F.lit("[A-Za-z]+")).alias("words"),
+        syllables(text).alias("syllables"),
     )
-    d = per_block.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("cjk", "latin", "sentences", "visible", "words", "syllables")])
-    d = d.join(sentence_stats(blk, terminators).select("doc_id", "avg_sentence_chars"), "doc_id")
-    by_length = clamp(100.0 - F.greatest(F.col("avg_sentence_chars") - 25.0, F.lit(0.0)) * 2.0, 0.0, 100.0)
+    sums = [F.sum(c).alias(c) for c in ("cjk", "latin", "words", "syllables")]
+    chars = F.sum(F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x))
+    d = per_block.groupBy("doc_id").agg(*sums, F.sum(F.size("l")).alias("sentences"), chars.alias("sentence_chars"))
+    by_length = clamp(100.0 - F.greatest(ratio(F.col("sentence_chars"), F.col("sentences")) - 25.0, F.lit(0.0)) * 2.0, 0.0, 100.0)
     flesch = clamp(206.835 - 1.015 * F.greatest(F.col("words"), F.lit(1)) / F.col("sentences") - 84.6 * F.col("syllables") / F.greatest(F.col("words"), F.lit(1)), 0.0, 100.0)
     nothing = F.col("sentences") == 0
     method = F.when(nothing, "none").when(F.col("cjk") >= F.col("latin"), "cjk-sentence-length").otherwise("flesch")
@@ -108,6 +107,17 @@ def repeated_phrases(tok: DataFrame, gap: int = 0, least: int = MIN_PHRASE, k: i
     return top_k(counted, k, "n", "phrase")
 
 
+def text_phrases(blk: DataFrame, least: int = MIN_PHRASE, k: int = TOP_PHRASES) -> DataFrame:
+    """repeated_phrases of untagged texts whose words are parted by one character: two patterns over a block, no row per word.
+
+    A look-ahead finds the phrases that overlap.
+    """
+    joined = F.regexp_replace("content", r"(?<=\p{L})\P{L}(?=\p{L})", " ")
+    grams = [F.regexp_extract_all(joined, F.lit(rf"(?<!\p{{L}})(?=(\p{{L}}++{more}))"), F.lit(1)) for more in (r" \p{L}++", r" \p{L}++ \p{L}++")]
+    counted = blk.select("doc_id", F.explode(F.concat(*grams)).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    return top_k(counted.where(F.col("n") >= least), k, "n", "phrase")
+
+
 def token_source(blk: DataFrame, tok: DataFrame) -> DataFrame:
     """'nlp' for documents with tokens, 'none' for those that were never tokenised."""
     have = tok.select("doc_id").distinct().withColumn("token_source", F.lit("nlp"))

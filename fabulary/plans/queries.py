@@ -47,7 +47,7 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.with_segments(doc_blocks(spark, sf_dir))
+    return corpus.segmented(table(spark, sf_dir, "documents"))
 
 
 _LINES = "lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS seq, len(string_split(text, chr(10))) AS n_lines FROM documents)"
@@ -114,7 +114,7 @@ def doc_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 50""",
 )
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.top_words(corpus.tokens(doc_blocks(spark, sf_dir)))
+    return words.top_words(corpus.terms(doc_blocks(spark, sf_dir)))
 
 
 @query(
@@ -138,7 +138,7 @@ n AS (SELECT doc_id, phrase, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >
 SELECT doc_id, phrase, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) AS rank FROM n) WHERE rank <= 30""",
 )
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.repeated_phrases(corpus.tokens(doc_blocks(spark, sf_dir)), gap=1)
+    return words.text_phrases(doc_blocks(spark, sf_dir))
 
 
 # --- sections
@@ -243,8 +243,8 @@ def flat_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("narrative_arc")
 def narrative_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blk = doc_blocks(spark, sf_dir)
-    points = sections.arc(blk, corpus.mentions(blk))
+    seg = doc_segments(spark, sf_dir)
+    points = sections.arc(seg, corpus.mentions(seg))
     return points.join(sections.arc_shape(points), "doc_id")
 
 
@@ -595,10 +595,9 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = words.sentence_stats(blk, STOPS).select("doc_id", text.ratio(F.col("above_100"), F.col("sentence_count")).alias("long_share"))
     balance = rollups.section_balance(sections.section_sizes(blk)).select("doc_id", "max_ratio")
     wide = words.readability(blk, STOPS).select("doc_id", F.col("score").alias("readability")).join(said, "doc_id").join(balance, "doc_id")
-    tok = corpus.tokens(blk)
-    each = tok.groupBy("doc_id", "text").agg(F.count("*").alias("n")).withColumn("adverb", F.when(F.col("text").rlike(ADVERB), F.col("n")))
+    each = corpus.terms(blk).groupBy("doc_id", "text").agg(F.count("*").alias("n")).withColumn("adverb", F.when(F.col("text").rlike(ADVERB), F.col("n")))
     used = each.groupBy("doc_id").agg(F.sum("n").alias("words"), F.sum("adverb").alias("adverbs"), F.max("adverb").alias("top_adverb"))
-    again = words.repeated_phrases(tok, gap=1).groupBy("doc_id").agg(F.sum("n").alias("repeats"), F.max("n").alias("top_phrase"))
+    again = words.text_phrases(blk).groupBy("doc_id").agg(F.sum("n").alias("repeats"), F.max("n").alias("top_phrase"))
     wide = wide.join(used, "doc_id", "left").join(again, "doc_id", "left").fillna(0, ["words", "adverbs", "top_adverb", "repeats", "top_phrase"])
     return wide.withColumn("adverb_ratio", text.ratio(F.col("adverbs"), F.col("words"))).withColumn("repeat_ratio", text.ratio(F.col("repeats"), F.col("words")))
 
@@ -646,7 +645,7 @@ def review_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("coverage", f"{_BLOCKS}{_MENT}, w AS (SELECT doc_id, bool_or(regexp_matches(content, '\\p{{L}}')) AS has_tokens FROM blocks GROUP BY doc_id) SELECT doc_id, has_tokens, EXISTS (SELECT 1 FROM ment WHERE ment.doc_id = w.doc_id) AS has_entities FROM w")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     blk = doc_blocks(spark, sf_dir)
-    return rollups.coverage(blk, corpus.tokens(blk), corpus.mentions(blk)).select("doc_id", "has_tokens", "has_entities")
+    return rollups.coverage(blk, corpus.terms(blk), corpus.mentions(blk)).select("doc_id", "has_tokens", "has_entities")
 
 
 def customers_as_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

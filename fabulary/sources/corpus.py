@@ -10,24 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulary.functions.text import visible_chars
+from fabulary.functions.text import has_text, let
+from fabulary.operators.segments import numbered
+
+
+def _part(seq: Column, n_lines: Column, parts: int) -> Column:
+    return F.concat(F.lit("part "), F.lpad((F.floor(seq * parts / n_lines).cast("int") + 1).cast("string"), 2, "0"))
+
+
+def _typed(content: Column) -> list[Column]:
+    kind = F.when(F.length(content) <= 40, "title").when(content.rlike(r"^[-*•] "), "list").otherwise("paragraph")
+    return [kind.alias("block_type"), F.lit(None).cast("string").alias("title")]
 
 
 def blocks(docs: DataFrame, parts: int = 10) -> DataFrame:
     """One block per line of a text that isn't blank, numbered before blank ones go; sections are tenths of the lines."""
     lines = F.split(F.col("text"), "\n")
     cut = docs.select(F.col("source").alias("project_id"), "doc_id", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("seq", "content"))
-    part = F.floor(F.col("seq") * parts / F.col("n_lines")).cast("int")
-    kept = cut.where(visible_chars(F.col("content")) > 0)
-    return kept.select(
-        "project_id",
-        "doc_id",
-        "seq",
-        "content",
-        F.concat(F.lit("part "), F.lpad((part + 1).cast("string"), 2, "0")).alias("section_path"),
-        F.when(F.length("content") <= 40, "title").when(F.col("content").rlike(r"^[-*•] "), "list").otherwise("paragraph").alias("block_type"),
-        F.lit(None).cast("string").alias("title"),
-    )
+    kept = cut.where(has_text(F.col("content")))
+    return kept.select("project_id", "doc_id", "seq", "content", _part(F.col("seq"), F.col("n_lines"), parts).alias("section_path"), *_typed(F.col("content")))
+
+
+def segmented(docs: DataFrame, parts: int = 10) -> DataFrame:
+    """blocks() with segments. A row is a document, so its blocks are numbered within it and no text is shuffled."""
+    line = lambda x, seq, lines: F.struct(seq.alias("seq"), x.alias("content"), _part(seq, F.size(lines), parts).alias("section_path"))
+    cut = let(F.split(F.col("text"), "\n"), lambda lines: F.filter(F.transform(lines, lambda x, seq: line(x, seq, lines)), lambda b: has_text(b["content"])))
+    each = docs.select(F.col("source").alias("project_id"), "doc_id", F.explode(numbered(cut)).alias("b"))
+    return each.select("project_id", "doc_id", "b.*", *_typed(F.col("b.content")))
 
 
 def conversation_blocks(turns: DataFrame) -> DataFrame:
@@ -43,6 +52,11 @@ def conversation_blocks(turns: DataFrame) -> DataFrame:
     )
 
 
+def terms(blk: DataFrame, word: str = r"\p{L}+") -> DataFrame:
+    """The words of each block without their places."""
+    return blk.select("doc_id", "seq", F.explode(F.regexp_extract_all(F.col("content"), F.lit(word), F.lit(0))).alias("text"))
+
+
 def tokens(blk: DataFrame, word: str = r"\p{L}+", pos: Column | None = None) -> DataFrame:
     """Words of each block with their places. Without a tagger pos is null, which measures report as not measured."""
     found = F.regexp_extract_all(F.col("content"), F.lit(word), F.lit(0))

@@ -156,6 +156,24 @@ def test_words_and_phrases(spark):
     assert [(r.term, r.n) for r in words.top_words(tok).orderBy("rank").collect()] == [("fox", 5), ("ran", 5), ("red", 5)]
 
 
+def test_fast_forms_equal_the_plain_ones(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aebc  \n\n.!?。　\u00a0é́，\"—A") for _ in range(rng.randrange(0, 120))) for _ in range(150)] + [None, "", "\n \n"]
+    docs = spark.createDataFrame([(f"d{i}", "s", t) for i, t in enumerate(texts)], "doc_id string, source string, text string")
+    made, plain = corpus.segmented(docs), segments.with_segments(corpus.blocks(docs))
+    key = lambda df: sorted(map(str, df.select(*sorted(plain.columns)).collect()))
+    assert set(made.columns) == set(plain.columns) and key(made) == key(plain)
+    for ends in (text.TERMINATORS, ".!?;"):
+        lengths = docs.where("text IS NOT NULL").select(text.sentence_lengths(F.col("text"), ends).alias("a"), F.transform(text.sentences(F.col("text"), ends), text.visible_chars).alias("b"))
+        assert all(r.a == r.b for r in lengths.collect())
+    word = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    each = F.aggregate(F.transform(word, lambda w: F.greatest(F.regexp_count(F.lower(w), F.lit("[aeiouy]+")), F.lit(1))), F.lit(0), lambda a, x: a + x)
+    assert docs.where(text.syllables(F.col("text")) != each).count() == 0
+    blk = corpus.blocks(docs)
+    phrases_ = lambda df: sorted(map(str, df.select("doc_id", "phrase", "n", "rank").collect()))
+    assert phrases_(words.text_phrases(blk, 1)) == phrases_(words.repeated_phrases(corpus.tokens(blk), gap=1, least=1))
+
+
 def test_arc_shape(spark):
     pts = lambda v: spark.createDataFrame([("d", i, x) for i, x in enumerate(v)], "doc_id string, seg int, intensity double")
     shape = lambda v: sections.arc_shape(pts(v)).first()["shape"]
