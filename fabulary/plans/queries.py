@@ -42,12 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table that the scan cuts into fewer pieces than there are cores is dealt out by document first.
+
+    One file with one row group is read by one task, which would then do all the work. A table of many files is left as it is.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.blocks(table(spark, sf_dir, "documents"))
+    return corpus.blocks(documents(spark, sf_dir))
 
 
 def doc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.segmented(table(spark, sf_dir, "documents"))
+    return corpus.segmented(documents(spark, sf_dir))
 
 
 _LINES = "lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS seq, len(string_split(text, chr(10))) AS n_lines FROM documents)"
