@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions.lexicons import CONFLICT_TERMS
-from fabulary.functions.text import clamp, count_term, ratio, visible_chars
-from fabulary.operators.segments import densely, runs, segment_table
+from fabulary.functions.text import clamp, count_term, count_terms, ratio, visible_chars
+from fabulary.operators.segments import by_segment, densely, runs
 from fabulary.operators.words import top_k
 
 # Fixed values.
@@ -25,11 +25,14 @@ def term_hits(seg: DataFrame, families: dict[str, list[str]] | None = None) -> D
 def curve(seg: DataFrame, families: dict[str, list[str]] | None = None) -> DataFrame:
     """One point per segment: hits, density per thousand characters, intensity and the dominant family."""
     families = CONFLICT_TERMS if families is None else families
-    order = F.array_position(F.array(*[F.lit(k) for k in families]), F.col("kind"))
-    kinds = term_hits(seg, families).groupBy("doc_id", "seg", "kind").agg(F.sum("hits").alias("hits"))
-    hits = kinds.groupBy("doc_id", "seg").agg(F.sum("hits").alias("hits"), F.max_by("kind", F.struct("hits", -order)).alias("dominant"))
-    chars = seg.groupBy("doc_id", "seg").agg(F.sum(visible_chars(F.col("content"))).alias("char_count"))
-    full = densely(chars.join(hits, ["doc_id", "seg"], "left"), segment_table(seg), "char_count", "hits").fillna("", ["dominant"])
+    text, kinds = F.col("content"), list(families)
+    per_kind = [F.sum(count_terms(text, families[k])).alias(f"k{i}") for i, k in enumerate(kinds)]
+    each = F.array(*[F.col(f"k{i}") for i in range(len(kinds))])
+    first = F.array_position(each, F.array_max(each))
+    points = by_segment(seg, F.sum(visible_chars(text)).alias("char_count"), *per_kind)
+    points = points.withColumn("hits", F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x))
+    points = points.withColumn("dominant", F.when(F.col("hits") > 0, F.element_at(F.array(*[F.lit(k) for k in kinds]), first.cast("int"))))
+    full = densely(points.drop(*[f"k{i}" for i in range(len(kinds))]), "char_count", "hits").fillna("", ["dominant"])
     density = ratio(F.col("hits"), F.col("char_count"), 1000.0)
     return full.withColumn("density", density).withColumn("intensity", F.least(density / FULL, F.lit(1.0)) * 100.0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions.text import TERMINATORS, class_chars, clamp, quoted_chars, ratio, sentence_lengths, visible_chars
-from fabulary.operators.segments import densely, segment_table
+from fabulary.operators.segments import by_segment, densely
 
 # Fixed values.
 SHORT, DIALOGUE_FULL, PUNCT_FULL, ENTITY_FULL = 12, 0.5, 8.0, 12.0
@@ -36,6 +36,9 @@ def curve(seg: DataFrame, ment: DataFrame | None = None, terminators: str = TERM
     per_block = blocks.select(
         "doc_id",
         "seg",
+        "label",
+        "n_segments",
+        "chunked",
         visible_chars(text).alias("char_count"),
         quoted_chars(text).alias("quoted"),
         class_chars(text, "!！?？").alias("marks"),
@@ -48,8 +51,7 @@ def curve(seg: DataFrame, ment: DataFrame | None = None, terminators: str = TERM
         F.aggregate("said", F.lit(0).cast("long"), total).alias("length_sum"),
         F.aggregate(F.transform("said", lambda x: (x * x).cast("long")), F.lit(0).cast("long"), total).alias("length_squares"),
     )
-    sums = per_block.groupBy("doc_id", "seg").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    full = densely(sums, segment_table(seg), *_SUMS)
+    full = densely(by_segment(per_block, *[F.sum(c).alias(c) for c in _SUMS]), *_SUMS)
     chars = F.greatest(F.col("char_count"), F.lit(1))
     dialogue, short = F.col("quoted") / chars, ratio(F.col("short"), F.col("sentence_count"))
     entity = F.col("entities") / chars * 1000.0

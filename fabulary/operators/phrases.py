@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fabulary.functions.lexicon import hits
 from fabulary.functions.lexicons import EXPLICIT_TERMS, STOCK_PHRASES
 from fabulary.functions.text import ratio, visible_chars
-from fabulary.operators.segments import densely, segment_table
+from fabulary.operators.segments import by_segment, densely
 
 # Fixed values.
 PHRASE_FULL, EXPLICIT_FULL, LIGHT, HEAVY, CLEAN, REPEATED, MIN_CHARS, MOST, MOST_HITS = 40.0, 30.0, 10.0, 25.0, 4.0, 3, 1000, 20, 60
@@ -50,8 +50,8 @@ def curve(seg: DataFrame, found: DataFrame, full: float = PHRASE_FULL) -> DataFr
     """Hits per ten thousand characters of each segment, and its busiest pattern (ties by pattern)."""
     by = found.groupBy("doc_id", "seg", "pattern").agg(F.count("*").alias("n"))
     top = by.groupBy("doc_id", "seg").agg(F.sum("n").alias("hits"), F.min_by("pattern", F.struct(-F.col("n"), "pattern")).alias("top_pattern"))
-    chars = seg.groupBy("doc_id", "seg").agg(F.sum(visible_chars(F.col("content"))).alias("char_count"))
-    points = densely(chars.join(top, ["doc_id", "seg"], "left"), segment_table(seg), "char_count", "hits").fillna("", ["top_pattern"])
+    chars = by_segment(seg, F.sum(visible_chars(F.col("content"))).alias("char_count"))
+    points = densely(chars.join(top, ["doc_id", "seg"], "left"), "char_count", "hits").fillna("", ["top_pattern"])
     rate = ratio(F.col("hits"), F.col("char_count"), 10000.0)
     return points.withColumn("per_10k", rate).withColumn("intensity", F.least(rate / full, F.lit(1.0)) * 100.0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions.text import class_chars, quoted_chars, ratio, sentence_lengths, visible_chars
-from fabulary.operators.segments import densely, segment_table, with_segments
+from fabulary.operators.segments import by_segment, densely, with_segments
 from fabulary.operators.words import top_k
 
 # Fixed values.
@@ -69,19 +69,15 @@ def arc(blk: DataFrame, ment: DataFrame) -> DataFrame:
     content = F.col("content")
     said = sentence_lengths(content)
     named = ment.groupBy("doc_id", "seq").agg(F.count("*").alias("entities"))
-    curve = (
-        seg.join(named, ["doc_id", "seq"], "left")
-        .groupBy("doc_id", "seg")
-        .agg(
-            F.sum(visible_chars(content)).alias("char_count"),
-            F.sum(quoted_chars(content)).alias("quoted"),
-            F.sum(class_chars(content, "!！?？")).alias("marks"),
-            F.sum(F.size(said)).alias("sentences"),
-            F.sum(F.size(F.filter(said, lambda x: x <= SHORT_SENTENCE))).alias("short"),
-            F.sum(F.coalesce("entities", F.lit(0))).alias("entities"),
-        )
-    )
-    full = densely(curve, segment_table(seg), "char_count", "quoted", "marks", "sentences", "short", "entities")
+    sums = {
+        "char_count": visible_chars(content),
+        "quoted": quoted_chars(content),
+        "marks": class_chars(content, "!！?？"),
+        "sentences": F.size(said),
+        "short": F.size(F.filter(said, lambda x: x <= SHORT_SENTENCE)),
+        "entities": F.coalesce("entities", F.lit(0)),
+    }
+    full = densely(by_segment(seg.join(named, ["doc_id", "seq"], "left"), *[F.sum(v).alias(k) for k, v in sums.items()]), *sums)
     c = F.col
     signals = {"dialogue": ratio(c("quoted"), c("char_count")), "exclaim": ratio(c("marks"), c("char_count"), 1000.0), "short": ratio(c("short"), c("sentences")), "entities": ratio(c("entities"), c("char_count"), 1000.0)}
     full = full.select("doc_id", "seg", "label", "char_count", *[v.alias(f"s_{k}") for k, v in signals.items()])

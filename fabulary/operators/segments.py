@@ -59,10 +59,26 @@ def segment_table(seg: DataFrame) -> DataFrame:
     return dense.select("doc_id", "seg", F.coalesce(F.col("labels")[F.col("seg")], F.concat((F.col("seg") + 1).cast("string"), F.lit(f"/{CHUNKS}"))).alias("label"), "n_segments", "chunked")
 
 
-def densely(curve: DataFrame, axis: DataFrame, *zeros: str) -> DataFrame:
-    """The whole axis with the curve's values; the named ones are 0 where a segment has none."""
-    full = axis.join(curve, ["doc_id", "seg"], "left")
-    return full.withColumns({z: F.coalesce(z, F.lit(0)) for z in zeros})
+def by_segment(seg: DataFrame, *sums: Column) -> DataFrame:
+    """One row per segment that holds a block, with the aggregates and its place on the axis, in one pass over the blocks."""
+    return seg.groupBy("doc_id", "seg").agg(F.max("label").alias("label"), F.max("n_segments").alias("n_segments"), F.max("chunked").alias("chunked"), *sums)
+
+
+def densely(points: DataFrame, *zeros: str) -> DataFrame:
+    """by_segment's rows and the tenths that hold no block; the named columns are 0 where a segment has none, the others null.
+
+    A document's points (its sections, or ten) meet in one array, so neither a second pass over the blocks nor a join is needed.
+    """
+    own = [f for f in points.schema.fields if f.name not in ("doc_id", "n_segments", "chunked")]
+    value = lambda f: F.coalesce(f.name, F.lit(0)).cast(f.dataType) if f.name in zeros else F.col(f.name)
+    docs = points.groupBy("doc_id").agg(F.max("n_segments").alias("n_segments"), F.max("chunked").alias("chunked"), F.collect_list(F.struct(*[value(f).alias(f.name) for f in own])).alias("points"))
+
+    def empty(i: Column) -> Column:
+        known = {"seg": i, "label": F.concat((i + 1).cast("string"), F.lit(f"/{CHUNKS}"))}
+        return F.struct(*[known.get(f.name, F.lit(0 if f.name in zeros else None)).cast(f.dataType).alias(f.name) for f in own])
+
+    gaps = F.array_except(F.sequence(F.lit(0), F.col("n_segments") - 1), F.col("points.seg"))
+    return docs.select("doc_id", "n_segments", "chunked", F.inline(F.concat("points", F.transform(gaps, empty))))
 
 
 def runs(rows: DataFrame, flag: str, order: str = "seg") -> DataFrame:
