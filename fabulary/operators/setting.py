@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fabulary.functions.lexicons import ENVIRONMENT_TERMS
 from fabulary.functions.text import clamp, count_terms, quoted_chars, ratio, visible_chars
+from fabulary.operators.segments import by_segment, densely
 
 # Fixed values.
 ENV_FULL, THIN, HEAVY, MIN_PLACE, MOST_PLACES, MOST_SCENES, ABSENT, UNANCHORED, CROWDED, RECURRING = 12.0, 2.0, 10.0, 2, 12, 40, 3, 3.0, 4, 3
@@ -18,6 +19,14 @@ def anchors(ment: DataFrame, kinds: tuple[str, ...] = ("LOCATION", "FACILITY"))
     return named.groupBy("doc_id", "seq").agg(F.max_by("text", F.struct("n", -F.col("first"))).alias("anchor"), F.count("*").alias("places"))
 
 
+def segment_places(seg: DataFrame, ment: DataFrame, kinds: tuple[str, ...] = ("LOCATION", "FACILITY")) -> DataFrame:
+    """place_count and dominant_place of each segment: the place that most of its blocks name, the first named of equals."""
+    named = ment.where(F.col("category").isin(*kinds)).groupBy("doc_id", "seq", "text").agg(F.min("nth").alias("first"))
+    each = seg.select("doc_id", "seq", "seg").join(named, ["doc_id", "seq"]).groupBy("doc_id", "seg", "text").agg(F.count("*").alias("n"), F.min(F.struct("seq", "first")).alias("first"))
+    top = each.groupBy("doc_id", "seg").agg(F.count("*").alias("place_count"), F.min_by("text", F.struct(-F.col("n"), "first")).alias("dominant_place"))
+    return densely(by_segment(seg).join(top, ["doc_id", "seg"], "left"), "place_count").fillna("", ["dominant_place"])
+
+
 def facts(seg: DataFrame, ment: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """What each block says of its surroundings."""
     made = seg.join(anchors(ment), ["doc_id", "seq"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fabulary.functions.lexicons import ASSERTIVE, FUNCTION_GROUPS, HEDGING, MARKS, PERSONS, PRONOUN_BLOCK_BEFORE
 from fabulary.functions.text import TERMINATORS, class_chars, clauses, count_term, count_terms, ratio, round_half_up, sentence_lengths, sentences, visible_chars
+from fabulary.operators.segments import by_segment, densely
 
 # Fixed values.
 STANCE_RATE, STANCE_LEAD = 6.0, 1.5
@@ -40,6 +41,16 @@ def rhythm(blk: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
     return d.drop("length_sum", "length_squares")
 
 
+def curve(seg: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
+    """One point per segment: characters, sentences, mean sentence length and clauses per sentence."""
+    text, total = F.col("content"), lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    lengths, parts = sentence_lengths(text, terminators), F.transform(sentences(text, terminators), clauses)
+    sums = {"char_count": visible_chars(text), "sentence_count": F.size(lengths), "sentence_chars": total(lengths), "clause_count": total(parts)}
+    points = densely(by_segment(seg, *[F.sum(v).alias(k) for k, v in sums.items()]), *sums)
+    mean = lambda part, digits: round_half_up(ratio(F.col(part), F.col("sentence_count")), digits)
+    return points.withColumn("avg_sentence_chars", mean("sentence_chars", 1)).withColumn("clauses_per_sentence", mean("clause_count", 2))
+
+
 def marks(blk: DataFrame, known: list[tuple[str, str]] = MARKS) -> DataFrame:
     """doc_id, mark, n, per_1000 for every mark, in one pass over the text."""
     counts = [F.sum(count_term(F.col("content"), m)).alias(f"m{i}") for i, (m, _) in enumerate(known)]

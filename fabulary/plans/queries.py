@@ -428,16 +428,27 @@ def voice_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voice.rhythm(doc_blocks(spark, sf_dir), STOPS).select("doc_id", "char_count", "paragraph_count", "sentence_count", "shortest_sentence", "longest_sentence", "clause_count", "single_sentence_paragraphs")
 
 
+@query(
+    "voice_curve",
+    f"""{_SEG}, b AS (SELECT doc_id, seg, visible, {_LENS} AS l, coalesce(list_sum(list_transform({_SENT}, lambda x: length(regexp_replace(x, '[^，、；：,]', '', 'g')) + 1)), 0) AS c FROM seg),
+s AS (SELECT doc_id, seg, sum(visible) AS chars, sum(len(l)) AS n, sum(coalesce(list_sum(l), 0)) AS total, sum(c) AS clauses FROM b GROUP BY ALL)
+SELECT a.doc_id, a.seg, coalesce(chars, 0) AS char_count, coalesce(n, 0) AS sentence_count, coalesce(floor(total / nullif(n, 0) * 10 + 0.5) / 10, 0) AS avg_sentence_chars, coalesce(floor(clauses / nullif(n, 0) * 100 + 0.5) / 100, 0) AS clauses_per_sentence
+FROM axis a LEFT JOIN s ON a.doc_id = s.doc_id AND a.seg = s.seg""",
+)
+def voice_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voice.curve(doc_segments(spark, sf_dir), STOPS).select("doc_id", "seg", "char_count", "sentence_count", "avg_sentence_chars", "clauses_per_sentence")
+
+
 # --- plot over parts and months
 
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as subjects in the months of 1995 in which they ship; one document for each supplier modulo 10."""
-    li = table(spark, sf_dir, "lineitem").where("year(l_shipdate) = 1995")
-    return li.groupBy(F.pmod("l_suppkey", F.lit(10)).alias("doc_id"), F.pmod("l_partkey", F.lit(60)).cast("string").alias("subject"), (F.month("l_shipdate") - 1).alias("section")).agg(F.count("*").alias("n")).withColumn("n_sections", F.lit(12))
+    """Parts as subjects in the months in which they ship; one document for each year and supplier modulo 10."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy((F.year("l_shipdate") * 10 + F.pmod("l_suppkey", F.lit(10))).alias("doc_id"), F.pmod("l_partkey", F.lit(60)).cast("string").alias("subject"), (F.month("l_shipdate") - 1).alias("section")).agg(F.count("*").alias("n")).withColumn("n_sections", F.lit(12))
 
 
-_PRESENCE = """WITH p AS (SELECT l_suppkey % 10 AS doc_id, CAST(l_partkey % 60 AS VARCHAR) AS subject, month(l_shipdate) - 1 AS section, count(*) AS n FROM lineitem WHERE year(l_shipdate) = 1995 GROUP BY ALL),
+_PRESENCE = """WITH p AS (SELECT year(l_shipdate) * 10 + l_suppkey % 10 AS doc_id, CAST(l_partkey % 60 AS VARCHAR) AS subject, month(l_shipdate) - 1 AS section, count(*) AS n FROM lineitem GROUP BY ALL),
 g AS (SELECT *, coalesce(section - lag(section) OVER (PARTITION BY doc_id, subject ORDER BY section) - 1, 0) AS gap FROM p),
 t AS (SELECT doc_id, subject, sum(n) AS mentions, count(*) AS sections_touched, min(section) AS first_section, max(section) AS last_section, max(gap) AS longest_gap, count(*) / 12 AS coverage FROM g GROUP BY ALL HAVING sum(n) >= 3),
 threads AS (SELECT *, CASE WHEN first_section >= 0.8 * 11 THEN 'late_arrival' WHEN last_section <= 0.2 * 11 THEN 'setup_only' WHEN coverage >= 0.5 THEN 'sustained' WHEN longest_gap >= 2 THEN 'intermittent' WHEN sections_touched <= 2 AND mentions >= 6 THEN 'burst' ELSE 'minor' END AS shape FROM t)"""
@@ -515,12 +526,12 @@ def scene_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "place_absences",
-    """WITH v AS (SELECT year(o_orderdate) AS y, c_nationkey AS place, month(o_orderdate) - 1 AS seg, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority LIKE '1%' GROUP BY ALL),
+    """WITH v AS (SELECT year(o_orderdate) AS y, c_nationkey AS place, month(o_orderdate) - 1 AS seg, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 g AS (SELECT *, coalesce(seg - lag(seg) OVER (PARTITION BY y, place ORDER BY seg) - 1, 0) AS gap FROM v)
 SELECT y, place, sum(n) AS mentions, count(*) AS segments_touched, min(seg) AS first_seg, max(seg) AS last_seg, max(gap) AS longest_absence, sum(CASE WHEN gap >= 3 THEN 1 ELSE 0 END) AS returns FROM g GROUP BY ALL""",
 )
 def place_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     visits = o.groupBy(F.year("o_orderdate").alias("y"), F.col("c_nationkey").alias("place"), (F.month("o_orderdate") - 1).alias("seg")).agg(F.count("*").alias("n")).withColumn("n_segments", F.lit(12))
     return setting.absences(visits, "y", "place", "seg").drop("coverage")
 
@@ -532,6 +543,18 @@ def setting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setting.stats(setting.facts(seg, ment, LATIN_ENV), setting.places(seg, ment))
 
 
+@query(
+    "segment_places",
+    f"""{_SEG}{_MENT}, m AS (SELECT ment.doc_id, seg.seg, ment.seq, text, min(nth) AS nth FROM ment JOIN seg ON seg.doc_id = ment.doc_id AND seg.seq = ment.seq GROUP BY ALL),
+c AS (SELECT doc_id, seg, text, count(*) AS n, min(seq * 1000000 + nth) AS place_at FROM m GROUP BY ALL),
+t AS (SELECT doc_id, seg, count(*) AS place_count, first(text ORDER BY n DESC, place_at) AS dominant_place FROM c GROUP BY doc_id, seg)
+SELECT a.doc_id, a.seg, coalesce(place_count, 0) AS place_count, coalesce(dominant_place, '') AS dominant_place FROM axis a LEFT JOIN t ON a.doc_id = t.doc_id AND a.seg = t.seg""",
+)
+def segment_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = doc_segments(spark, sf_dir)
+    return setting.segment_places(seg, corpus.mentions(seg).withColumn("category", F.lit("LOCATION"))).select("doc_id", "seg", "place_count", "dominant_place")
+
+
 @query("setting_scenes")
 def setting_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = doc_segments(spark, sf_dir)
