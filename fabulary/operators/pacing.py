@@ -65,13 +65,8 @@ def curve(seg: DataFrame, ment: DataFrame | None = None, terminators: str = TERM
     )
 
 
-def flat_stretches(points: DataFrame, band: float = FLAT_BAND, least: int = FLAT_RUN_MIN, strict: bool = False) -> DataFrame:
-    """Greedy runs whose whole range stays within the band.
-
-    A run restarts where its range breaks, which no window can say, so each document's curve (a few hundred points) is
-    folded in order. The segment that broke a run is counted with the run it ended, and also begins the next; strict
-    leaves it to the next alone.
-    """
+def _flat_runs(curve: Column, band: float = FLAT_BAND, strict: bool = False) -> Column:
+    """ARRAY<STRUCT<first, last>>: the runs of a document's curve, an array of points in order. See flat_stretches."""
     state = "struct<low:double,high:double,first:int,open:boolean,runs:array<struct<first:int,last:int>>>"
 
     def step(s: Column, p: Column) -> Column:
@@ -89,9 +84,19 @@ def flat_stretches(points: DataFrame, band: float = FLAT_BAND, least: int = FLAT
         ).cast(state)
 
     start = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).alias("first"), F.lit(False).alias("open"), F.array().cast("array<struct<first:int,last:int>>").alias("runs")).cast(state)
+    close = lambda s: F.concat(s["runs"], F.array(F.struct(s["first"].alias("first"), (F.size(curve) - 1).cast("int").alias("last"))))
+    return F.aggregate(curve, start, step, close)
+
+
+def flat_stretches(points: DataFrame, band: float = FLAT_BAND, least: int = FLAT_RUN_MIN, strict: bool = False) -> DataFrame:
+    """Greedy runs whose whole range stays within the band.
+
+    A run restarts where its range breaks, which no window can say, so each document's curve (a few hundred points) is
+    folded in order. The segment that broke a run is counted with the run it ended, and also begins the next; strict
+    leaves it to the next alone.
+    """
     docs = points.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seg", "tension", "char_count", "label"))).alias("curve"))
-    close = lambda s: F.concat(s["runs"], F.array(F.struct(s["first"].alias("first"), (F.size("curve") - 1).cast("int").alias("last"))))
-    each = docs.select("doc_id", "curve", F.explode(F.aggregate("curve", start, step, close)).alias("run"))
+    each = docs.select("doc_id", "curve", F.explode(_flat_runs(F.col("curve"), band, strict)).alias("run"))
     inside = F.slice("curve", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1)
     sizes = F.size(inside)
     return each.where(F.col("run.last") - F.col("run.first") + 1 >= least).select(
@@ -114,8 +119,8 @@ def drag_sections(points: DataFrame, k: int = MOST_DRAG) -> DataFrame:
 
 
 def stats(points: DataFrame) -> DataFrame:
-    """One row per document: spread, verdict and score."""
-    docs = points.groupBy("doc_id").agg(
+    """One row per document: spread, verdict and score. The curve is gathered once, so the points are computed once."""
+    d = points.groupBy("doc_id").agg(
         F.count("*").alias("segment_count"),
         F.max("chunked").alias("chunked"),
         F.stddev_pop("tension").alias("tension_stdev"),
@@ -123,10 +128,12 @@ def stats(points: DataFrame) -> DataFrame:
         F.min("tension").alias("min_tension"),
         F.max("tension").alias("max_tension"),
         F.avg("char_count").alias("mean_section_chars"),
+        F.avg("tension").alias("mean_tension"),
+        F.sort_array(F.collect_list(F.struct("seg", "tension", "char_count"))).alias("curve"),
     )
-    flat = flat_stretches(points).groupBy("doc_id").agg(F.max("sections").alias("longest_flat_run"))
-    drag = drag_sections(points).groupBy("doc_id").agg(F.count("*").alias("drag_count"))
-    d = docs.join(flat, "doc_id", "left").join(drag, "doc_id", "left").fillna(0, ["longest_flat_run", "drag_count"])
+    sizes = F.filter(F.transform(_flat_runs(F.col("curve")), lambda r: r["last"] - r["first"] + 1), lambda n: n >= FLAT_RUN_MIN)
+    slow = F.filter("curve", lambda x: (x["char_count"] / F.col("mean_section_chars") >= DRAG_RATIO) & (x["tension"] < F.col("mean_tension")))
+    d = d.withColumn("longest_flat_run", F.coalesce(F.array_max(sizes), F.lit(0))).withColumn("drag_count", F.least(F.size(slow), F.lit(MOST_DRAG))).drop("curve", "mean_tension")
     c = F.col
     lost = (
         F.when(c("tension_stdev") < FLAT_STDEV, (FLAT_STDEV - c("tension_stdev")) / FLAT_STDEV * 30.0).otherwise(0.0)
