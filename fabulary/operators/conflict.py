@@ -66,7 +66,7 @@ def stats(seg: DataFrame, families: dict[str, list[str]] | None = None) -> DataF
         F.avg(F.when(tail, F.col("intensity"))).alias("tail_intensity"),
         F.max("hits").alias("most_hits"),
     )
-    mix = families_of(seg, families).groupBy("doc_id").agg(F.max("share").alias("dominant_share"), F.max_by("kind", F.struct("hits", -F.lit(0))).alias("dominant_type"))
+    mix = families_of(seg, families).groupBy("doc_id").agg(F.max("share").alias("dominant_share"), F.min_by("kind", F.struct(-F.col("hits"), "kind")).alias("dominant_type"))
     absent = absent_runs(points, 1).groupBy("doc_id").agg(F.max("sections").alias("longest_absent_run"))
     c = F.col
     d = d.join(mix, "doc_id", "left").join(absent, "doc_id", "left").fillna(0, ["longest_absent_run", "dominant_share"])

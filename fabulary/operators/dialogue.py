@@ -11,6 +11,8 @@ from fabulary.operators.segments import runs
 # Fixed values.
 MIN_SEGMENT, SILENT, FLOODED, DOMINANT, SPARSE, HEAVY, MONOLOGUE, SAMPLES, EXCERPT = 300, 0.05, 0.80, 0.5, 0.12, 0.55, 300, 8, 40
 
+UNIT_BUCKETS = (("1-9", 1, 9), ("10-29", 10, 29), ("30-99", 30, 99), ("100-299", 100, 299), ("300+", 300, 2**31 - 1))
+
 
 def units(blk: DataFrame) -> DataFrame:
     """One row per spoken unit: doc_id, seq, nth, kind (quote or dash), chars and the start of what is said."""
@@ -69,6 +71,13 @@ def stats(blk: DataFrame) -> DataFrame:
     return d.withColumn("verdict", verdict(F.col("dialogue_share"), F.col("unit_count")))
 
 
+def unit_buckets(blk: DataFrame) -> DataFrame:
+    """doc_id, bucket, n: spoken units by length; all five buckets of each document that speaks."""
+    counts = units(blk).groupBy("doc_id").agg(*[F.count_if(F.col("chars").between(low, high)).alias(f"n{i}") for i, (_, low, high) in enumerate(UNIT_BUCKETS)])
+    each = F.array(*[F.struct(F.lit(name).alias("bucket"), F.col(f"n{i}").alias("n")) for i, (name, *_) in enumerate(UNIT_BUCKETS)])
+    return counts.select("doc_id", F.inline(each))
+
+
 def samples(blk: DataFrame, k: int = SAMPLES) -> DataFrame:
     """The longest units, the first of equals."""
     return units(blk).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("chars"), "seq", "nth"))).where(F.col("rank") <= k)

@@ -9,6 +9,27 @@ from fabulary.functions.text import clamp
 
 # Fixed values.
 MIN_MENTIONS, MOST, MAIN_COVERAGE, SUSTAINED, LATE, EARLY, MIN_SECTIONS, TURNS, NAMES, LISTED = 3, 12, 0.25, 0.5, 0.8, 0.2, 3, 3, 8, 10
+ENTITIES = ("PERSON", "ORGANIZATION", "LOCATION", "FACILITY", "PRODUCT")
+
+
+def subjects(blk: DataFrame, ment: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Presence of each subject in each section, in the form that threads() reads, with the subject's kind.
+
+    Subjects are the mentions of plot entities and the noun signals (doc_id, seq, nth, text); each mention counts, blank
+    ones don't. Sections are full paths in order of appearance. The kind is the category that the text has first: in
+    the order of blocks, and entities before signals within a block. Only keys and subjects are shuffled, no contents.
+    """
+    found = ment.where(F.col("category").isin(*ENTITIES)).select("doc_id", "seq", "nth", "text", "category", F.lit(0).alias("late"))
+    if signals is not None:
+        found = found.unionByName(signals.select("doc_id", "seq", "nth", "text", F.lit("SIGNAL").alias("category"), F.lit(1).alias("late")))
+    order = Window.partitionBy("doc_id").orderBy("first_seq")
+    paths = blk.groupBy("doc_id", "section_path").agg(F.min("seq").alias("first_seq"))
+    axis = paths.select("doc_id", "section_path", (F.row_number().over(order) - 1).alias("section"), F.count("*").over(Window.partitionBy("doc_id")).cast("int").alias("n_sections"))
+    at = blk.select("doc_id", "seq", "section_path").join(axis, ["doc_id", "section_path"]).drop("section_path")
+    named = found.where(F.trim("text") != "").join(at, ["doc_id", "seq"])
+    first = F.struct("seq", "late", "nth", "category")
+    made = named.groupBy("doc_id", F.col("text").alias("subject"), "section", "n_sections").agg(F.count("*").alias("n"), F.min(first).alias("_first"))
+    return made.withColumn("kind", F.min("_first").over(Window.partitionBy("doc_id", "subject"))["category"]).drop("_first")
 
 
 def threads(presence: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ ENV_FULL, THIN, HEAVY, MIN_PLACE, MOST_PLACES, MOST_SCENES, ABSENT, UNANCHORED,
 def anchors(ment: DataFrame, kinds: tuple[str, ...] = ("LOCATION", "FACILITY")) -> DataFrame:
     """doc_id, seq, anchor (the place a block names most, the first of equals) and the places it names."""
     named = ment.where(F.col("category").isin(*kinds)).groupBy("doc_id", "seq", "text").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
-    return named.groupBy("doc_id", "seq").agg(F.max_by("text", F.struct("n", -F.col("first"))).alias("anchor"), F.count("*").alias("places"))
+    return named.groupBy("doc_id", "seq").agg(F.max_by("text", F.struct("n", -F.col("first"))).alias("anchor"), F.count("*").alias("places"), F.collect_set("text").alias("named"))
 
 
 def segment_places(seg: DataFrame, ment: DataFrame, kinds: tuple[str, ...] = ("LOCATION", "FACILITY")) -> DataFrame:
@@ -34,6 +34,7 @@ def facts(seg: DataFrame, ment: DataFrame, terms: list[str] | None = None) -> Da
         "doc_id", "seq", "seg", "label", "n_segments", "block_type",
         F.coalesce("anchor", F.lit("")).alias("anchor"),
         F.coalesce("places", F.lit(0)).alias("places"),
+        "named",
         visible_chars(F.col("content")).alias("char_count"),
         quoted_chars(F.col("content")).alias("quoted"),
         count_terms(F.col("content"), ENVIRONMENT_TERMS if terms is None else terms).alias("env_hits"),
@@ -57,6 +58,7 @@ def scenes(fact: DataFrame) -> DataFrame:
     """One row per scene."""
     s = scene_ids(fact).groupBy("doc_id", "scene").agg(
         F.min("seq").alias("first_seq"),
+        F.min_by("label", "seq").alias("section"),
         F.coalesce(F.min_by("anchor", F.when(F.col("anchor") != "", F.col("seq"))), F.lit("")).alias("anchor"),
         F.count("*").alias("blocks"),
         F.sum("char_count").alias("char_count"),
@@ -93,10 +95,11 @@ def places(seg: DataFrame, ment: DataFrame, k: int = MOST_PLACES) -> DataFrame:
 def stats(fact: DataFrame, place: DataFrame) -> DataFrame:
     """One row per document. The score is null without places and surroundings."""
     total = fact.groupBy("doc_id").agg(F.sum("env_hits").alias("total_env_hits"), F.sum("char_count").alias("char_count"), F.max(F.col("places") > 0).alias("places_measured"))
-    crowd = fact.groupBy("doc_id", "seg").agg(F.max("places").alias("p")).groupBy("doc_id").agg(F.sum((F.col("p") >= CROWDED).cast("int")).alias("crowded"))
+    apart = fact.select("doc_id", "seg", F.explode("named").alias("place")).groupBy("doc_id", "seg").agg(F.countDistinct("place").alias("p"))
+    crowd = apart.groupBy("doc_id").agg(F.sum((F.col("p") >= CROWDED).cast("int")).alias("crowded"))
     scene = scenes(fact).groupBy("doc_id").agg(F.count("*").alias("scene_count"), F.sum(F.col("unanchored").cast("int")).alias("unanchored_scenes"))
     some = place.groupBy("doc_id").agg(F.count("*").alias("place_count"), F.sum((F.col("mentions") >= RECURRING).cast("int")).alias("recurring_places"))
-    d = total.join(scene, "doc_id").join(crowd, "doc_id").join(some, "doc_id", "left").fillna(0, ["place_count", "recurring_places"])
+    d = total.join(scene, "doc_id").join(crowd, "doc_id", "left").join(some, "doc_id", "left").fillna(0, ["crowded", "place_count", "recurring_places"])
     c = F.col
     d = d.withColumn("env_density", ratio(c("total_env_hits"), c("char_count"), 1000.0)).withColumn("unanchored_share", c("unanchored_scenes") / c("scene_count"))
     lost = (

@@ -76,6 +76,27 @@ def top_words(tok: DataFrame, k: int = TOP) -> DataFrame:
     return top_k(word_counts(tok), k, "n", "term")
 
 
+def entity_counts(ment: DataFrame) -> DataFrame:
+    """doc_id, category, n, the most frequent category first."""
+    return top_k(ment.groupBy("doc_id", "category").agg(F.count("*").alias("n")), TOP, "n", "category")
+
+
+def top_texts(found: DataFrame, k: int = TOP) -> DataFrame:
+    """The most frequent texts of mentions or noun signals, as they are spelt."""
+    return top_k(word_counts(found, F.col("text")), k, "n", "term")
+
+
+def signal_totals(signals: DataFrame) -> DataFrame:
+    return signals.groupBy("doc_id").agg(F.count("*").alias("noun_signal_count"))
+
+
+def average_words(blk: DataFrame, tok: DataFrame) -> DataFrame:
+    """word_count and avg_sentence_length, which is words per block whatever its name."""
+    size, said = (rows.groupBy("doc_id").agg(F.count("*").alias(name)) for rows, name in ((blk, "block_count"), (tok, "word_count")))
+    d = size.join(said, "doc_id", "left").fillna(0, ["word_count"])
+    return d.withColumn("avg_sentence_length", ratio(F.col("word_count"), F.col("block_count")))
+
+
 def tagged_words(tok: DataFrame, tags: tuple[str, ...], stop: list[str] | None = None, k: int = TOP) -> DataFrame:
     """Top words of some tags: adverbs with ADVERB_POS and ADVERB_STOP_WORDS, adjectives with ADJECTIVE_POS."""
     kept = tok.where(F.col("pos").isin(*tags))

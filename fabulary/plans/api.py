@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulary.functions.lexicons import EXPLICIT_TERMS, STOCK_PHRASES
-from fabulary.operators import conflict, dialogue, pacing, phrases, sections, segments, setting, structure, timeline, voice, words
-from fabulary.plans import graph, report
-from fabulary.plans.store import without_project
+from fabulary.operators import sections, segments, words
+from fabulary.plans import bundle, graph, report
+from fabulary.plans.store import document_hashes, upsert, without_project
 from fabulary.sources import nlp_json, plaintext
 
 
@@ -25,29 +24,25 @@ def import_project(spark: SparkSession, semantic: str, toc: str | None = None, t
     return nlp_json.with_terms(blk, nlp_json.terms(spark, terms)) if terms else blk
 
 
-def analyse(blk: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One frame per dimension, keyed by doc_id. What tokens or mentions would be needed for is left out without them."""
-    seg = segments.with_segments(blk)
-    points = pacing.curve(seg, ment)
-    found = {
-        "t0": words.sentence_stats(blk).join(words.readability(blk), "doc_id"),
-        "t1": sections.extreme_sections(blk),
-        "pacing": pacing.stats(points),
-        "conflict": conflict.stats(seg),
-        "cliche": phrases.phrase_stats(seg, phrases.phrase_hits(seg, STOCK_PHRASES)),
-        "explicit": phrases.tier_counts(phrases.explicit_hits(seg, EXPLICIT_TERMS)),
-        "dialogue": dialogue.stats(blk),
-        "voice": voice.rhythm(blk),
-        "timeline": timeline.anchored(timeline.markers(seg)),
-        "structure": structure.model_fit(structure.beats(structure.landmarks(points))),
-    }
+def analyse(blk: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, lex: bundle.Lexicons | None = None) -> dict[str, DataFrame]:
+    """One frame per dimension, keyed by doc_id, with their lists of findings. See bundle.measure()."""
+    found = bundle.measure(segments.with_segments(blk), tok, ment, signals, lex=lex)
     if tok is not None:
-        found |= {"top_words": words.top_words(tok), "phrases": words.repeated_phrases(tok)}
+        found |= {"top_words": words.top_words(tok), "phrases": words.repeated_phrases(tok), "adverbs": words.adverbs(tok), "adjectives": words.adjectives(tok)}
     if ment is not None:
-        found |= {"characters": sections.characters(blk, ment), "setting": setting.stats(setting.facts(seg, ment), setting.places(seg, ment))}
+        found |= {"characters": sections.characters(blk, ment), "entity_counts": words.entity_counts(ment), "top_entities": words.top_texts(ment)}
+    if signals is not None:
+        found |= {"top_noun_signals": words.top_texts(signals)}
     return found
 
 
+def store(blk: DataFrame, found: dict[str, DataFrame], path: str) -> None:
+    """Writes the fifteen dimensions of each document, by project and content hash; stored rows of the same content are replaced."""
+    hashes = document_hashes(blk).join(blk.select("doc_id", "project_id").distinct(), "doc_id")
+    rows = bundle.dimension_rows(found, hashes.select("doc_id", "hash")).join(hashes.select("doc_id", "project_id"), "doc_id")
+    upsert(rows, path, "project_id", "input_hash")
+
+
 def compare(tok: DataFrame, blk: DataFrame, k: int = 20) -> DataFrame:
     """The words with the highest counts in any project, by project."""
     projects = blk.select("project_id", "doc_id").distinct()

@@ -17,6 +17,7 @@ CHECKLIST = [
     ("voice-quotes", "language", "medium"), ("voice-hedging", "language", "low"), ("explicit-advisory", "advisory", "high"),
     ("explicit-self-harm", "advisory", "high"),
 ]
+UNANCHORED, ABSENT_RUN, ADVERB_OVERUSE, READABLE = 0.3, 3, 20, 60.0
 GROUPS = ("consistency", "structure", "language", "advisory")
 
 
@@ -57,6 +58,32 @@ def recommendations(wide: DataFrame) -> DataFrame:
     return wide.select("doc_id", F.explode(fired).alias("r")).select("doc_id", "r.ord", "r.severity", "r.dimension", "r.rule")
 
 
+def checklist_conditions() -> dict[str, Column]:
+    """When each of the nineteen rules fires, over the columns that bundle.review_inputs() gathers."""
+    c = F.col
+    return {
+        "plot-unresolved": c("unresolved") > 0,
+        "plot-late": c("late_arrivals") > 0,
+        "timeline-backstep": c("backsteps") > 0,
+        "timeline-unreadable": ~c("time_readable") & (c("entity_dates") > 0),
+        "setting-unanchored": (c("scene_count") > 0) & c("places_measured") & (c("unanchored_share") >= UNANCHORED),
+        "entity-alias": c("entities") > 0,
+        "structure-issue": c("structure_issues") > 0,
+        "structure-unreadable": ~c("structure_readable"),
+        "pacing-drag": c("drag_count") > 0,
+        "conflict-absent": (c("conflict_hits") > 0) & (c("longest_absent_run") >= ABSENT_RUN),
+        "dialogue-silent": c("silent_segments") > 0,
+        "cliche-hits": c("cliche_hits") > 0,
+        "t0-repeat": c("repeated") > 0,
+        "t0-adverb": c("top_adverb") >= ADVERB_OVERUSE,
+        "t0-readability": (c("sentence_count") > 0) & (c("readability") < READABLE),
+        "voice-quotes": c("open_quotes") != c("close_quotes"),
+        "voice-hedging": c("stance") == "hedging",
+        "explicit-advisory": c("explicit_hits") > 0,
+        "explicit-self-harm": c("self_harm") > 0,
+    }
+
+
 def checklist(wide: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """One row per document and rule that fires, in firing order. conditions: a column for each id of CHECKLIST that can be decided."""
     rows = [F.when(F.coalesce(conditions[i], F.lit(False)), F.struct(F.lit(n).alias("ord"), F.lit(i).alias("id"), F.lit(g).alias("group"), F.lit(s).alias("severity"))) for n, (i, g, s) in enumerate(CHECKLIST) if i in conditions]
