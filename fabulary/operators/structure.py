@@ -40,11 +40,11 @@ def landmarks(points: DataFrame, turns: DataFrame | None = None, k: int = MOST_L
             F.when(rest & lower & (c("tension") <= c("mean") - BAND), row("trough", c("mean") - c("tension"))),
         )
     )
-    found = p.select("doc_id", "seg", "position", F.explode(kinds).alias("l")).select("doc_id", "l.kind", "seg", "position", "l.strength")
     if turns is not None:
-        at = positions(points).select("doc_id", "seg", "position")
-        turned = turns.where(c("change") >= TURN_MIN).select("doc_id", c("section").cast("int").alias("seg"), "change").join(at, ["doc_id", "seg"])
-        found = found.unionByName(turned.select("doc_id", F.lit("turn").alias("kind"), "seg", "position", c("change").cast("double").alias("strength")))
+        changes = turns.where(c("change") >= TURN_MIN).groupBy("doc_id", c("section").cast("int").alias("seg")).agg(F.collect_list("change").alias("changes"))
+        p = p.join(changes, ["doc_id", "seg"], "left")
+        kinds = F.concat(kinds, F.transform(F.coalesce("changes", F.array().cast("array<double>")), lambda x: row("turn", x)))
+    found = p.select("doc_id", "seg", "position", F.explode(kinds).alias("l")).select("doc_id", "l.kind", "seg", "position", "l.strength")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg", "kind"))).where(F.col("rank") <= k)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions.lexicons import ADVERB_STOP_WORDS, ASSERTIVE, EXPLICIT_TERMS, HEDGING, PERSONS, STOCK_PHRASES
@@ -66,11 +66,25 @@ def theme_source(signals: DataFrame | None, tok: DataFrame | None) -> DataFrame
 
 
 def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None) -> dict[str, DataFrame]:
-    """A frame for each of the fifteen dimensions, and the lists that belong to them under names of their own.
+    """A frame for each of the fifteen dimensions: those of review(), and the themes.
+
+    Themes need the connected components of terms, which run as jobs of their own while this plan is made. Without terms
+    they have no rows.
+    """
+    found, terms = review(seg, tok, ment, signals, repeated, lex), theme_source(signals, tok)
+    if terms is None:
+        found["theme"] = seg.select("doc_id", F.lit(None).cast("double").alias("theme_score")).where("false")
+    else:
+        cand = theme.candidates(terms.join(seg.select("doc_id", "seq", "seg"), ["doc_id", "seq"]))
+        found["theme"] = theme.score(theme.themes(cand, segments.segment_table(seg)), cand)
+    return found
+
+
+def review(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None) -> dict[str, DataFrame]:
+    """All dimensions but the themes, and the lists that belong to them under names of their own; no job is run.
 
     seg: blocks with segments; ment: mentions with category and nth; signals: doc_id, seq, nth, text; repeated: the
-    repeated phrases, by default those of the tokens. What can't be told without tokens, mentions or signals is 0 or
-    null; theme, which has nothing to stand on without terms, is then empty.
+    repeated phrases, by default those of the tokens. What can't be told without tokens, mentions or signals is 0 or null.
     """
     lex = lex or Lexicons()
     spark = seg.sparkSession
@@ -80,10 +94,9 @@ def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None
         repeated = words.repeated_phrases(tok)
     points = pacing.curve(seg, ment, lex.terminators)
     presence = plot.subjects(seg, ment, signals)
-    at = seg.select("doc_id", "seq", "seg")
     # Turns are sections by full path; the segment of a section is that of its first block.
     path = seg.groupBy("doc_id", "section_path").agg(F.min(F.struct("seq", "seg")).alias("f"))
-    order = F.row_number().over(plot.Window.partitionBy("doc_id").orderBy("f.seq")) - 1
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("f.seq")) - 1
     turns = plot.turning_points(presence).join(path.select("doc_id", order.alias("section"), F.col("f.seg").alias("seg")), ["doc_id", "section"])
     turns = turns.select("doc_id", F.col("seg").alias("section"), "change")
     marks, acts = structure.landmarks(points, turns), structure.acts(points, turns)
@@ -113,12 +126,6 @@ def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None
         "structure_issues": findings.structure_issues(points, marks, acts),
         "timeline_issues": findings.timeline_issues(seg, dated),
     }
-    terms = theme_source(signals, tok)
-    if terms is None:
-        found["theme"] = seg.select("doc_id", F.lit(None).cast("double").alias("theme_score")).where("false")
-    else:
-        cand = theme.candidates(terms.join(at, ["doc_id", "seq"]))
-        found["theme"] = theme.score(theme.themes(cand, segments.segment_table(seg)), cand)
     wide = review_inputs(seg, found, presence, points, ment, strong, lex)
     found["checklist"] = rollups.checklist(wide, rollups.checklist_conditions())
     found["assessment"] = rollups.assessment(wide)

@@ -240,23 +240,6 @@ def pacing_drag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pacing.drag_sections(points).select("doc_id", "seg", "char_count", F.round("length_ratio", 6).alias("length_ratio"), "rank")
 
 
-@query("pacing_stats")
-def pacing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pacing.stats(pacing.curve(doc_segments(spark, sf_dir), terminators=STOPS))
-
-
-@query("flat_stretches")
-def flat_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pacing.flat_stretches(pacing.curve(doc_segments(spark, sf_dir), terminators=STOPS))
-
-
-@query("narrative_arc")
-def narrative_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = doc_segments(spark, sf_dir)
-    points = sections.arc(seg, corpus.mentions(seg))
-    return points.join(sections.arc_shape(points), "doc_id")
-
-
 # --- dialogue
 
 
@@ -283,11 +266,6 @@ def quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.longest_run(blk.select("doc_id", "seq", text.visible_chars(F.col("content")).alias("chars")), "chars < 300", "short")
 
 
-@query("dialogue_stats")
-def dialogue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.stats(doc_blocks(spark, sf_dir))
-
-
 # --- conflict, lexicons, voice
 
 
@@ -327,11 +305,6 @@ def conflict_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict.families_of(doc_segments(spark, sf_dir), LATIN_CONFLICT).select("doc_id", "kind", "hits", F.round("share", 6).alias("share"))
 
 
-@query("conflict_stats")
-def conflict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflict.stats(doc_segments(spark, sf_dir), LATIN_CONFLICT)
-
-
 def _hit_sql(lexicon_: list[tuple]) -> str:
     tried = lexicon.variants([p[0] for p in lexicon_])
     either = "|".join(v for v, _ in tried)
@@ -365,12 +338,6 @@ def phrase_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.curve(seg, phrases.phrase_hits(seg, LATIN_PHRASES)).select("doc_id", "seg", "char_count", "hits", "top_pattern")
 
 
-@query("phrase_stats")
-def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = doc_segments(spark, sf_dir)
-    return phrases.phrase_stats(seg, phrases.phrase_hits(seg, LATIN_PHRASES))
-
-
 @query(
     "explicit_tiers",
     r"""SELECT doc_id, mild, moderate, strong, CASE WHEN strong > 0 THEN 'strong' WHEN moderate > 0 THEN 'moderate' ELSE 'mild' END AS advisory FROM (
@@ -380,11 +347,6 @@ def explicit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.tier_counts(phrases.explicit_hits(doc_segments(spark, sf_dir), LATIN_TIERS))
 
 
-@query("explicit_advisories")
-def explicit_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.advisories(phrases.explicit_hits(doc_segments(spark, sf_dir), LATIN_TIERS))
-
-
 @query(
     "voice_marks",
     f"""{_BLOCKS}, m(mark, pat) AS (VALUES ('.', '[^.]'), (',', '[^,]'), ('!', '[^!]'), ('?', '[^?]'), ('*', '[^*]'))
@@ -536,13 +498,6 @@ def place_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setting.absences(visits, "y", "place", "seg").drop("coverage")
 
 
-@query("setting_stats")
-def setting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = doc_segments(spark, sf_dir)
-    ment = corpus.mentions(seg).withColumn("category", F.lit("LOCATION"))
-    return setting.stats(setting.facts(seg, ment, LATIN_ENV), setting.places(seg, ment))
-
-
 @query(
     "segment_places",
     f"""{_SEG}{_MENT}, m AS (SELECT ment.doc_id, seg.seg, ment.seq, text, min(nth) AS nth FROM ment JOIN seg ON seg.doc_id = ment.doc_id AND seg.seq = ment.seq GROUP BY ALL),
@@ -555,30 +510,9 @@ def segment_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setting.segment_places(seg, corpus.mentions(seg).withColumn("category", F.lit("LOCATION"))).select("doc_id", "seg", "place_count", "dominant_place")
 
 
-@query("setting_scenes")
-def setting_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = doc_segments(spark, sf_dir)
-    return setting.scenes(setting.facts(seg, corpus.mentions(seg).withColumn("category", F.lit("LOCATION")), LATIN_ENV))
-
-
 # --- structure and time
 
 
-@query("landmarks")
-def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.landmarks(pacing.curve(doc_segments(spark, sf_dir), terminators=STOPS))
-
-
-@query("beat_match")
-def beat_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.beats(structure.landmarks(pacing.curve(doc_segments(spark, sf_dir), terminators=STOPS)))
-
-
-@query("model_fit")
-def model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.model_fit(structure.beats(structure.landmarks(pacing.curve(doc_segments(spark, sf_dir), terminators=STOPS))))
-
-
 @query("time_markers")
 def time_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.anchored(timeline.markers(doc_segments(spark, sf_dir)))
@@ -665,15 +599,6 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.recommendations(_wide(spark, sf_dir)).select("doc_id", "severity", "rule")
 
 
-@query("review_checklist")
-def review_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = doc_segments(spark, sf_dir)
-    clash = conflict.stats(seg, LATIN_CONFLICT).select("doc_id", "total_hits", "longest_absent_run")
-    drag = pacing.stats(pacing.curve(seg, terminators=STOPS)).select("doc_id", "drag_count")
-    wide = _wide(spark, sf_dir).join(clash, "doc_id").join(drag, "doc_id")
-    return rollups.checklist(wide, {"pacing-drag": F.col("drag_count") > 0, "conflict-absent": (F.col("total_hits") > 0) & (F.col("longest_absent_run") >= 3), "t0-readability": F.col("readability") < 60, "t0-repeat": F.col("top_phrase") > 30, "t0-adverb": F.col("top_adverb") > 100})
-
-
 @query("coverage", f"{_BLOCKS}{_MENT}, w AS (SELECT doc_id, bool_or(regexp_matches(content, '\\p{{L}}')) AS has_tokens FROM blocks GROUP BY doc_id) SELECT doc_id, has_tokens, EXISTS (SELECT 1 FROM ment WHERE ment.doc_id = w.doc_id) AS has_entities FROM w")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     blk = doc_blocks(spark, sf_dir)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fabulary.operators import conflict, dialogue, findings, pacing, phrases, plot, setting, structure, words
-from fabulary.plans import bundle, graph, rollups
+from fabulary.operators import conflict, dialogue, findings, pacing, phrases, plot, sections, segments, setting, structure, timeline, words
+from fabulary.plans import bundle, rollups
 from fabulary.plans import queries as q
 from fabulary.plans.queries import ORACLE, STOPS, doc_blocks, doc_segments, query
 from fabulary.sources import corpus
@@ -344,7 +344,7 @@ def structure_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(findings.structure_issues(points, structure.landmarks(points)))
 
 
-_FLAT = f"""{q._SEG.replace("WITH ", "WITH RECURSIVE ", 1)}{q._POINTS}, walk AS (SELECT doc_id, seg, tension AS low, tension AS high, seg AS from_seg, NULL AS ended_from, NULL AS ended_to FROM points WHERE seg = 0
+_FLAT = f"""{q._SEG.replace("WITH ", "WITH RECURSIVE ", 1)}{q._POINTS}, walk AS (SELECT doc_id, seg, tension AS low, tension AS high, seg AS from_seg, CAST(NULL AS BIGINT) AS ended_from, CAST(NULL AS BIGINT) AS ended_to FROM points WHERE seg = 0
 UNION ALL SELECT p.doc_id, p.seg, CASE WHEN brk THEN p.tension ELSE least(low, p.tension) END, CASE WHEN brk THEN p.tension ELSE greatest(high, p.tension) END, CASE WHEN brk THEN p.seg ELSE from_seg END, CASE WHEN brk THEN from_seg END, CASE WHEN brk THEN p.seg END
   FROM (SELECT w.*, pp.tension AS t2, greatest(high, pp.tension) - least(low, pp.tension) > 8 AS brk FROM walk w JOIN points pp ON pp.doc_id = w.doc_id AND pp.seg = w.seg + 1) x JOIN points p ON p.doc_id = x.doc_id AND p.seg = x.seg + 1),
 ends AS (SELECT doc_id, ended_from AS f, ended_to AS l FROM walk WHERE ended_to IS NOT NULL UNION ALL SELECT doc_id, from_seg, seg FROM (SELECT *, max(seg) OVER (PARTITION BY doc_id) AS z FROM walk) WHERE seg = z),
@@ -399,3 +399,75 @@ def conflict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["character_graph"] = f"""WITH c AS ({ORACLE["characters"]}), p AS ({ORACLE["character_partners"]}), top AS (SELECT doc_id, name FROM c WHERE rank <= 12)
 SELECT p.doc_id, least(p.name, partner) AS a, greatest(p.name, partner) AS b, max(n) AS weight FROM p JOIN top x ON x.doc_id = p.doc_id AND x.name = p.name JOIN top y ON y.doc_id = p.doc_id AND y.name = partner GROUP BY ALL"""
+
+
+_ARC = rf"""{q._SEG}{q._MENT}, ec AS (SELECT doc_id, seq, count(*) AS entities FROM ment GROUP BY ALL),
+b AS (SELECT seg.doc_id, seg, visible, {q._QUOTED} AS quoted, length(regexp_replace(content, '[^!！?？]', '', 'g')) AS marks, {q._LENS.replace("[.!?;]", "[。！？；…!?;]")} AS l, coalesce(entities, 0) AS entities FROM seg LEFT JOIN ec ON ec.doc_id = seg.doc_id AND ec.seq = seg.seq),
+s AS (SELECT doc_id, seg, sum(visible) AS chars, sum(quoted) AS quoted, sum(marks) AS marks, sum(len(l)) AS n, sum(len(list_filter(l, lambda x: x <= {sections.SHORT_SENTENCE}))) AS short, sum(entities) AS entities FROM b GROUP BY ALL),
+f AS (SELECT a.doc_id, a.seg, coalesce(chars, 0) AS char_count, coalesce(quoted / nullif(chars, 0), 0) AS s_dialogue, coalesce(marks * 1000 / nullif(chars, 0), 0) AS s_exclaim, coalesce(short / nullif(n, 0), 0) AS s_short, coalesce(entities * 1000 / nullif(chars, 0), 0) AS s_entities FROM axis a LEFT JOIN s ON s.doc_id = a.doc_id AND s.seg = a.seg),
+arc AS (SELECT doc_id, seg, char_count, {" + ".join(f"{w} * coalesce((s_{k} - min(s_{k}) OVER d) / nullif(max(s_{k}) OVER d - min(s_{k}) OVER d, 0), 0)" for k, w in sections.ARC_WEIGHTS.items())} AS intensity, count(*) OVER d AS n FROM f WINDOW d AS (PARTITION BY doc_id)),
+th AS (SELECT *, greatest(n // 3, 1) AS t FROM arc), m AS (SELECT doc_id, max(n) AS n, coalesce(avg(intensity) FILTER (seg < t), 0) AS front, coalesce(avg(intensity) FILTER (seg >= t AND seg < n - t), 0) AS middle, coalesce(avg(intensity) FILTER (seg >= n - t), 0) AS back FROM th GROUP BY doc_id)"""
+
+
+@query(
+    "narrative_arc",
+    f"""{_ARC} SELECT doc_id, seg, char_count, round(intensity, 6) AS intensity, CASE WHEN m.n < 3 THEN 'steady' WHEN middle > front + 0.05 AND middle > back + 0.05 THEN 'mountain' WHEN back > front + 0.05 AND back >= middle - 0.05 THEN 'rising' WHEN front > back + 0.05 AND front >= middle - 0.05 THEN 'falling' ELSE 'steady' END AS shape FROM arc JOIN m USING (doc_id)""",
+)
+def narrative_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = doc_segments(spark, sf_dir)
+    points = sections.arc(seg, corpus.mentions(seg))
+    return rounded(points.join(sections.arc_shape(points), "doc_id")).select("doc_id", "seg", "char_count", "intensity", "shape")
+
+
+# --- time: the orders of a customer told as a text
+
+
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per customer, one block per order: its date in words and sixty more characters; three blocks make a section."""
+    o = q.table(spark, sf_dir, "orders")
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = o.select(F.col("o_custkey").alias("doc_id"), seq.alias("seq"), F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("，"), F.lit("记" * 59)).alias("content"))
+    part = F.concat(F.lit("part "), F.lpad(F.floor(F.col("seq") / 3).cast("string"), 3, "0"))
+    return segments.with_segments(rows.select(F.lit("p").alias("project_id"), "doc_id", "seq", "content", part.alias("section_path"), F.lit("paragraph").alias("block_type"), F.lit(None).cast("string").alias("title")))
+
+
+_TOLD = """WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, CAST(o_orderdate AS DATE) AS d FROM orders),
+t AS (SELECT *, year(d) || '年' || month(d) || '月' || day(d) || '日' AS text, 'part ' || lpad(CAST(seq // 3 AS VARCHAR), 3, '0') AS section FROM o), c AS (SELECT doc_id, sum(length(text) + 60) AS chars, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT t.*, lag(d) OVER w AS was, date_diff('day', lag(d) OVER w, d) AS days FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), j AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE chars >= 600)"""
+
+
+@query("told_dates", f"{_TOLD} SELECT doc_id, seq, text, 'absolute' AS kind, 'day' AS precision, CAST(d AS VARCHAR) AS date, seq AS marker FROM t")
+def told_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timeline.anchored(timeline.markers(order_texts(spark, sf_dir)))
+    return found.select("doc_id", "seq", "text", "kind", "precision", F.col("date").cast("string").alias("date"), "marker")
+
+
+@query(
+    "timeline_issues",
+    _TOLD
+    + " "
+    + _issues(
+        """SELECT doc_id, 1 AS part, k AS place, 'backstep' AS kind, section, CAST(days AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM j WHERE days < 0) WHERE k <= 10
+UNION ALL SELECT doc_id, 2, k, 'long_jump', section, days FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY days DESC, was, d, seq) AS k FROM j WHERE days >= 366) WHERE k <= 10
+UNION ALL SELECT doc_id, 4, 0, 'too_short', '', chars FROM c WHERE chars < 600""",
+        None,
+    ),
+)
+def timeline_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = order_texts(spark, sf_dir)
+    return rounded(findings.timeline_issues(seg, timeline.anchored(timeline.markers(seg))))
+
+
+# --- the whole review
+
+
+@query("review_checklist")
+def review_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nineteen rules over the documents, with mentions, signals and repeated phrases of their own texts."""
+    seg = doc_segments(spark, sf_dir)
+    return bundle.review(seg, corpus.terms(seg), named(seg), signals(seg), words.text_phrases(seg), LATIN)["checklist"]
+
+
+@query("concerns", f"SELECT doc_id, severity, rule AS title FROM ({ORACLE['recommendations']})")
+def concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundle.concerns(rollups.recommendations(q._wide(spark, sf_dir))).select("doc_id", "severity", "title")

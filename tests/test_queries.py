@@ -1,5 +1,6 @@
 """Every registered query with SQL gives the rows that DuckDB gives on the same tables."""
 
+from numbers import Real
 from pathlib import Path
 
 import duckdb
@@ -14,7 +15,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables a
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, Real) and not isinstance(v, bool) else str(v)
     return sorted((tuple(clean(v) for v in r) for r in frame.itertuples(index=False)), key=lambda r: [(v is None, str(v)) for v in r])
 
 
