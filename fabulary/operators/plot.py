@@ -84,6 +84,13 @@ def unresolved(presence: DataFrame, shape: str = "setup_only", k: int = LISTED)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def single_section(presence: DataFrame, k: int = LISTED) -> DataFrame:
+    """Threads that one section alone mentions, whatever their shape, the busiest first."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("mentions"), "subject")
+    found = threads(presence).where((F.col("sections_touched") == 1) & (F.col("n_sections") >= MIN_SECTIONS))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def coherence(presence: DataFrame) -> DataFrame:
     """coherence_score of each document: what dropped, late and broken threads cost."""
     t = threads(presence)

@@ -142,7 +142,7 @@ def review_inputs(seg: DataFrame, found: dict[str, DataFrame], presence: DataFra
     parts = [
         found["t0"].select("doc_id", c("score").alias("readability"), "sentence_count", ratio(c("above_100"), c("sentence_count")).alias("long_share"), "adverb_ratio", "top_adverb", "repeat_ratio", "top_phrase", "repeated"),
         rollups.section_balance(sections.section_sizes(seg)).select("doc_id", "max_ratio"),
-        counted(plot.unresolved(presence, "setup_only"), "unresolved"),
+        counted(plot.single_section(presence), "unresolved"),
         counted(plot.unresolved(presence, "late_arrival"), "late_arrivals"),
         counted(moved, "backsteps"),
         counted(found["timeline"], "markers").join(chars, "doc_id", "right"),

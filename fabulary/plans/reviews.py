@@ -102,14 +102,16 @@ def plot_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _THREADS = f"""{_SUBJECTS}, g AS (SELECT *, coalesce(section - lag(section) OVER (PARTITION BY doc_id, subject ORDER BY section) - 1, 0) AS gap FROM pres),
 t AS (SELECT doc_id, subject, sum(n) AS mentions, count(*) AS touched, min(section) AS f, max(section) AS l, max(gap) AS gap, max(n_sections) AS k FROM g GROUP BY ALL HAVING sum(n) >= 3),
 late AS (SELECT doc_id, subject, mentions, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, subject) AS rank FROM t WHERE k >= 3 AND f >= 0.8 * (k - 1)),
-early AS (SELECT doc_id, subject, mentions, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, subject) AS rank FROM t WHERE k >= 3 AND f < 0.8 * (k - 1) AND l <= 0.2 * (k - 1))"""
+single AS (SELECT doc_id, subject, mentions, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, subject) AS rank FROM t WHERE k >= 3 AND touched = 1)"""
 
 
-@query("unresolved_threads", f"{_THREADS} SELECT doc_id, 'setup_only' AS shape, subject, mentions, rank FROM early WHERE rank <= 10 UNION ALL SELECT doc_id, 'late_arrival', subject, mentions, rank FROM late WHERE rank <= 10")
+@query("unresolved_threads", f"{_THREADS} SELECT doc_id, 'single_section' AS list, subject, mentions, rank FROM single WHERE rank <= 10 UNION ALL SELECT doc_id, 'late_arrival', subject, mentions, rank FROM late WHERE rank <= 10")
 def unresolved_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     blk = doc_blocks(spark, sf_dir)
     presence = plot.subjects(blk, named(blk), signals(blk))
-    return plot.unresolved(presence).unionByName(plot.unresolved(presence, "late_arrival")).select("doc_id", "shape", "subject", "mentions", "rank")
+    lists = {"single_section": plot.single_section(presence), "late_arrival": plot.unresolved(presence, "late_arrival")}
+    once, late = (rows.select("doc_id", F.lit(name).alias("list"), "subject", "mentions", "rank") for name, rows in lists.items())
+    return once.unionByName(late)
 
 
 # --- dialogue
