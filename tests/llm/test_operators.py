@@ -35,10 +35,11 @@ def documents(spark, texts=TEXTS, clash=True):
     return df.withColumns({c: F.lit("x") for c in CLASH}) if clash else df
 
 
-def folder(spark, tmp_path, docs=None, labels=(), pages=()):
+def folder(spark, tmp_path, docs=None, labels=(), pages=(), vectors=()):
     (documents(spark) if docs is None else docs).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     return str(tmp_path)
 
 
@@ -46,9 +47,10 @@ def folder(spark, tmp_path, docs=None, labels=(), pages=()):
 def test_odd_rows_repeats_and_clashing_columns(spark, tmp_path, name):
     docs = documents(spark)
     pages = [(0, None, None), (1, "http://h/x", ""), (2, "nonsense", "<p>a<p>b"), (2, "nonsense", "<p>a<p>b")]
-    sf = folder(spark, tmp_path, docs.union(docs.where("doc_id in (5, 7)")), [(5, 1, 0), (5, 1, 0), (8, 0, 0), (9, None, None)], pages)
+    vectors = [(0, None, 1), (1, [1.0, None], 1), (2, [1.0, float("inf")], 1), (None, [0.5, 0.25], None), (4, [0.5, 0.25], 2), (4, [-1.0], 2)]
+    sf = folder(spark, tmp_path, docs.union(docs.where("doc_id in (5, 7)")), [(5, 1, 0), (5, 1, 0), (8, 0, 0), (9, None, None)], pages, vectors)
     rows = queries.QUERIES[name](spark, sf).collect()
-    assert len(rows) == (4 if name.startswith("op4") else len(TEXTS) + 2)
+    assert len(rows) == {"op4_html_text": 4, "op13_whitening": 3 * 2}.get(name, len(TEXTS) + 2)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
