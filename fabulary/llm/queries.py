@@ -16,6 +16,7 @@ from fabulary.llm.secret_scan import op7
 from fabulary.llm.sharding import op3
 from fabulary.llm.simhash import op8
 from fabulary.llm.suffix_tree import op5
+from fabulary.llm.toxicity import op11
 from fabulary.llm.whitening import op13
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8,
     "op9_media_png": op9,
     "op10_fingerprint": op10,
+    "op11_toxicity": op11,
     "op13_whitening": op13,
 }
 

@@ -30,7 +30,7 @@ from fabulary.llm.common import table
 
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
 #: Rows that are multiplied at a time, and parts that one task merges.
-BLOCK, FAN = 128, 128
+BLOCK, FAN = 512, 128
 _SATURATED = float(1 << 52)
 _SPLIT = float((1 << 27) + 1)
 
@@ -61,27 +61,25 @@ def dd_add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return high, e - (high - s)
 
 
-def dd_total(a: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sum over the first axis, by halves."""
-    high, low = a
-    while len(high) > 1:
-        half = len(high) // 2
-        rest = (high[2 * half :], low[2 * half :])
-        high, low = dd_add((high[:half], low[:half]), (high[half : 2 * half], low[half : 2 * half]))
-        if len(rest[0]):
-            high[:1], low[:1] = dd_add((high[:1], low[:1]), rest)
-    return high[0], low[0]
-
-
-def outer_total(high: np.ndarray, low: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum over vectors (double-double) of the products of their entries rows[k] and cols[k]."""
+def outer_total(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over vectors (double-double) of the products of their entries, for the upper triangle; summed by halves of the rows."""
+    n, width = high.shape
     near, rest = halves(high)
-    a, b = high[:, rows], high[:, cols]
-    an, bn, ar, br = near[:, rows], near[:, cols], rest[:, rows], rest[:, cols]
-    product = a * b
-    error = ((an * bn - product) + an * br + ar * bn) + ar * br
-    error += a * low[:, cols] + low[:, rows] * b
-    return dd_total((product, error))
+    out = np.zeros((2, width, width))
+    for i in range(width):
+        a, b = high[:, i : i + 1], high[:, i:]
+        product = a * b
+        error = ((near[:, i : i + 1] * near[:, i:] - product) + near[:, i : i + 1] * rest[:, i:] + rest[:, i : i + 1] * near[:, i:]) + rest[:, i : i + 1] * rest[:, i:]
+        error += a * low[:, i:] + low[:, i : i + 1] * b
+        m = n
+        while m > 1:
+            half = m // 2
+            total, lost = two_sum(product[:half], product[m - half : m])
+            lost += error[:half] + error[m - half : m]
+            product[:half], error[:half] = total, lost
+            m -= half
+        out[0, i, i:], out[1, i, i:] = two_sum(product[0], error[0]) if n else (0.0, 0.0)
+    return out[0], out[1]
 
 
 # --- symmetric eigenvalues ---------------------------------------------------------------------------------------
@@ -312,26 +310,22 @@ class Whitening:
 def covariance(rows: DataFrame, vector: str, n: int, sums: list[int]) -> np.ndarray:
     """The covariance of x with divisor n, rounded from double-double."""
     width = len(sums)
-    rows_at, cols_at = np.triu_indices(width)
     high, low = Whitening(n, sums, np.zeros(0), np.zeros(0), 0).means()
 
-    def add(held: tuple, column: pa.Array) -> tuple:
+    def add(held: np.ndarray, column: pa.Array) -> np.ndarray:
         _, x = vectors_of(column, width)
         for at in range(0, len(x), BLOCK):
             near, rest = two_sum(x[at : at + BLOCK].astype(np.float64), -high)
-            held = dd_add(held, outer_total(*two_sum(near, rest - low), rows_at, cols_at))
+            held = np.stack(dd_add(held, outer_total(*two_sum(near, rest - low))))
         return held
 
-    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.concatenate(dd_add((a[: len(a) // 2], a[len(a) // 2 :]), (b[: len(b) // 2], b[len(b) // 2 :])))
-
-    states = gathered(rows, vector, lambda: (np.zeros(len(rows_at)), np.zeros(len(rows_at))), add, np.concatenate, join)
+    join = lambda a, b: np.concatenate(dd_add(np.split(a, 2), np.split(b, 2)))
+    states = gathered(rows, vector, lambda: np.zeros((2, width, width)), add, np.ravel, join)
     total = states[0]
     for other in states[1:]:
         total = join(total, other)
-    out = np.zeros((width, width))
-    out[rows_at, cols_at] = total[: len(rows_at)] / n + total[len(rows_at) :] / n
-    return np.triu(out) + np.triu(out, 1).T
+    upper = np.triu((total[: width * width] / n + total[width * width :] / n).reshape(width, width))
+    return upper + np.triu(upper, 1).T
 
 
 def fit(rows: DataFrame, vector: str = "embedding") -> Whitening | None:
