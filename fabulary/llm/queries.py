@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fabulary.llm.alignment import op12
 from fabulary.llm.bpe import op6
 from fabulary.llm.fingerprint import op10
 from fabulary.llm.html_text import op4
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_png": op9,
     "op10_fingerprint": op10,
     "op11_toxicity": op11,
+    "op12_alignment": op12,
     "op13_whitening": op13,
 }
 

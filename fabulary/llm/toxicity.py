@@ -13,7 +13,7 @@ order of a hash of the id, taken to the driver. Only text is ever an input.
 
 Cases: a null text is the empty one; a text without a letter has no feature, and its score comes from the bias alone; ties
 between passages go to the first; labels of one id that differ count as toxic, null marks are left out; without labelled
-rows of both marks the score is 0.5 everywhere (`predicted` 1); a null id learns nothing and is not held out; repeated rows pass
+rows of both marks the score is 0.5 everywhere (`predicted` 1); a null id counts as the empty text and is held out; repeated rows pass
 through one to one; an empty table gives no rows; an output column replaces an input column of the same name, others are
 kept; a text of more than PIECE characters is looked at in pieces, cut at white space and overlapping by a passage, so
 its memory doesn't grow with it.
