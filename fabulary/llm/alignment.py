@@ -44,7 +44,9 @@ HOT = 1 << 20
 #: Pairs of documents that a task looks up at a time.
 LOOKED_UP = 500_000
 #: Bytes of the chunks that a worker keeps, and what an entry takes besides its values; longer chunks are never kept.
-CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 40_000_000, 420, 64
+CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 130_000_000, 420, 64
+#: Characters of chunks that A encodes in one call.
+RUN = 4_000
 _CHUNK = re.compile(r"(?<=\S)(?= )")
 _BLANK = "▁"
 
@@ -150,13 +152,32 @@ class Pairer:
         got = self.b.encode([c[1:] for c in chunks], num_threads=1)
         return [ids if len(c) > 1 else [self.b_blank] for c, ids in zip(chunks, got)]
 
+    def _a_ids(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A for all chunks, and how many each has. Chunks are encoded several at a time, up to one that ends in white space, since the next one's blank would join it."""
+        runs, run, held = [], [], 0
+        for c in chunks:
+            run.append(c)
+            held += len(c)
+            if held > RUN or c[-1].isspace():
+                runs.append("".join(run))
+                run, held = [], 0
+        runs.append("".join(run))
+        ids = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        ends, wanted = np.cumsum(self.a_sizes[flat]), np.cumsum(sizes)
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[last], wanted):
+            return flat, np.diff(last + 1, prepend=0)
+        ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def _aligned(self, chunks: list[str]) -> list[Chunk]:
         """All chunks in one run of bytes: both tokenizers have a cut at each chunk's end."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b_ids = self._b_ids(chunks)
         raw = [c.encode() for c in chunks]
-        a_many, b_many, sizes = (np.fromiter(map(len, x), np.int64, len(chunks)) for x in (a_ids, b_ids, raw))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a_ids, a_many), (b_ids, b_many)))
+        b_many, sizes = (np.fromiter(map(len, x), np.int64, len(chunks)) for x in (b_ids, raw))
+        a, a_many = self._a_ids(chunks, sizes)
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(b_many.sum()))
         out, given = [_UNEQUAL] * len(chunks), np.frombuffer(b"".join(raw), np.uint8)
         whole = np.ones(len(chunks), bool)
         for ids, many, lengths, starts, flat in ((a, a_many, self.a_sizes, self.a_starts, self.a_flat), (b, b_many, self.b_sizes, self.b_starts, self.b_flat)):

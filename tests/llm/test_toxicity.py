@@ -106,7 +106,7 @@ def test_step_follows_the_gradient():
     rows = own.buckets[:5]
     before = loss()
     vectors, softmax = fresh.vectors.copy(), fresh.softmax.copy()
-    spent = [np.full(len(vectors), 1e6, np.float32), np.full_like(softmax, 1e6), np.full(2, 1e6, np.float32)]
+    spent = [np.full(len(vectors), 1e6, np.float32), np.full_like(softmax, 1e6)]
     fresh._step([toxicity.bag([t]) for t in texts[:8]], y, 1.0, *spent)
     moved = fresh.vectors - vectors
     after = loss()
