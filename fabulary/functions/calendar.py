@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 # Fixed values.
 STEMS, BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
 DIGITS = "〇一二三四五六七八九"
-#: A few well-known reigns; a full table is passed as a DataFrame (name, start_year, end_year).
-SOME_ERAS = [("贞观", 627, 649), ("开元", 713, 741), ("洪武", 1368, 1398), ("永乐", 1403, 1424), ("万历", 1573, 1620), ("康熙", 1662, 1722), ("乾隆", 1736, 1795), ("光绪", 1875, 1908), ("民国", 1912, 1949), ("至元", 1264, 1294), ("至元", 1335, 1340)]
+#: Well-known reigns, by their first year; a full table is passed as a DataFrame (name, start_year, end_year).
+SOME_ERAS = [
+    ("武德", 618, 626), ("贞观", 627, 649), ("永徽", 650, 655), ("开元", 713, 741), ("天宝", 742, 756), ("贞元", 785, 805), ("元和", 806, 820), ("庆历", 1041, 1048),
+    ("熙宁", 1068, 1077), ("元丰", 1078, 1085), ("贞观", 1101, 1101), ("政和", 1111, 1118), ("宣和", 1119, 1125), ("靖康", 1126, 1127), ("建炎", 1127, 1130), ("绍兴", 1131, 1162),
+    ("至元", 1264, 1294), ("大德", 1297, 1307), ("至元", 1335, 1340), ("洪武", 1368, 1398), ("建文", 1399, 1402), ("永乐", 1403, 1424), ("洪熙", 1425, 1425), ("宣德", 1426, 1435),
+    ("正统", 1436, 1449), ("成化", 1465, 1487), ("弘治", 1488, 1505), ("正德", 1506, 1521), ("嘉靖", 1522, 1566), ("隆庆", 1567, 1572), ("万历", 1573, 1620), ("天启", 1621, 1627),
+    ("崇祯", 1628, 1644), ("顺治", 1644, 1661), ("康熙", 1662, 1722), ("雍正", 1723, 1735), ("乾隆", 1736, 1795), ("嘉庆", 1796, 1820), ("道光", 1821, 1850), ("咸丰", 1851, 1861),
+    ("同治", 1862, 1874), ("光绪", 1875, 1908), ("宣统", 1909, 1911), ("民国", 1912, 1949),
+]
+ERA_NAMES = sorted({name for name, *_ in SOME_ERAS})
 
 
 def pair_of(index: Column) -> Column:
@@ -42,9 +50,15 @@ def number(text: Column) -> Column:
     return F.when(plain.contains("十"), tens * 10 + ones).otherwise(plain.try_cast("int"))
 
 
+def reign_years(eras: DataFrame) -> DataFrame:
+    """name, regnal, years: every year of every reign (name, start_year, end_year), with the distinct years that the name and number allow."""
+    each = eras.select("name", F.posexplode(F.sequence("start_year", "end_year")).alias("nth", "year"))
+    return each.groupBy("name", (F.col("nth") + 1).alias("regnal")).agg(F.sort_array(F.collect_set("year")).alias("years"))
+
+
 def era_years(reigns: DataFrame, eras: DataFrame) -> DataFrame:
-    """reigns: rows with `name` and `regnal`. Adds `years`: the distinct years that a reign of the name allows; two or more are ambiguous."""
-    year = F.col("start_year") + F.col("regnal") - 1
-    keyed = reigns.withColumn("_row", F.struct("name", "regnal"))
-    found = keyed.select("name", "regnal").distinct().join(eras, "name").where((F.col("regnal") > 0) & (year <= F.col("end_year"))).groupBy("name", "regnal").agg(F.sort_array(F.collect_set(year)).alias("years"))
-    return keyed.drop("_row").join(found, ["name", "regnal"], "left").withColumn("years", F.coalesce("years", F.array().cast("array<int>")))
+    """reigns: rows with `name` and `regnal`. Adds `years`: the distinct years that a reign of the name allows; two or more are ambiguous.
+
+    The table has a row for each year of a reign, some thousands for all reigns there were, and is broadcast: rows without a reign stay where they are.
+    """
+    return reigns.join(F.broadcast(reign_years(eras)), ["name", "regnal"], "left").withColumn("years", F.coalesce("years", F.array().cast("array<int>")))

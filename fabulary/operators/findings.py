@@ -190,10 +190,10 @@ def timeline_issues(seg: DataFrame, found: DataFrame) -> DataFrame:
     c = F.col
     count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     named = c("text").isin([*SOLAR_TERMS, *FESTIVALS, *WEEKDAYS]) | c("text").startswith("周")
-    dated = found.where(c("date").isNotNull() & c("precision").isin("day", "month"))
+    dated = found.where(c("date").isNotNull() & c("precision").isin(*timeline.ORDERED))
     per = found.groupBy("doc_id").agg(
-        F.count("*").alias("markers"), count(c("date").isNotNull() & c("precision").isin("day", "month")).alias("dated"), count((c("form") == "ganzhi_year") & c("date").isNull()).alias("wheel"),
-        count((c("form") == "era_year") & c("date").isNull()).alias("era"), count(c("form") == "lunar_day").alias("lunar"), count((c("form") == "term") & named).alias("named"),
+        F.count("*").alias("markers"), count(c("date").isNotNull() & c("precision").isin(*timeline.ORDERED)).alias("dated"), count((c("form") == "ganzhi_year") & c("date").isNull()).alias("wheel"),
+        count((c("form") == "era_year") & c("date").isNull()).alias("era"), count(c("precision") == "lunar_day").alias("lunar"), count((c("form") == "term") & named).alias("named"),
     )
     docs = seg.groupBy("doc_id").agg(F.sum(visible_chars(c("content"))).alias("chars")).join(per, "doc_id", "left").fillna(0, ["markers"])
     open_ = docs.where((c("markers") > 0) & (c("chars") >= MIN_TIME_CHARS))

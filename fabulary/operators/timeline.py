@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulary.functions.calendar import BRANCHES, STEMS, index_of_pair, number, wheel_year_near
+from fabulary.functions.calendar import BRANCHES, SOME_ERAS, STEMS, era_years, index_of_pair, number, wheel_year_near
 from fabulary.functions.lexicons import DEICTIC_DAYS, FESTIVALS, HOUR_PERIODS, SOLAR_TERMS, VAGUE_TIMES, WEEKDAYS
+from fabulary.functions.lunar import known_months, read_day, to_dates
 from fabulary.functions.text import visible_chars
 from fabulary.operators.segments import runs
 
@@ -22,6 +23,18 @@ UNIT_DAYS = {"分钟": 1 / 1440, "小时": 1 / 24, "秒钟": 1 / 86400, "星期"
 _N = "(?:[0-9]+|十[一二三四五六七八九两]?|[一二三四五六七八九两](?:十[一二三四五六七八九两]?)?)"
 _Y = "(?:(?<![0-9])[1-9][0-9]{2,3}(?![0-9])|[〇零一二三四五六七八九]{3,})"
 _LUNAR_DAY = "(?:初[一二三四五六七八九十]|廿[一二三四五六七八九十]|十五|三十)"
+_NAMED_MONTH = f"闰?(?:正|冬|腊|{_N})月"
+_LUNAR_TAIL, _SOLAR_TAIL = f"{_NAMED_MONTH}{_LUNAR_DAY}", f"{_NAMED_MONTH}{_N}[日号]"
+#: Precisions of dates that can be put in order.
+ORDERED = ("day", "month", "era_day", "lunar_day")
+
+
+def _reigns(names: Sequence[str]) -> str:
+    """The names by their first character, longest first: at most places one comparison refuses them all."""
+    by_first: dict[str, list[str]] = {}
+    for name in sorted(set(names), key=lambda n: (-len(n), n)):
+        by_first.setdefault(name[0], []).append(name[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
 
 
 def forms(eras: Sequence[str] = ()) -> dict[str, str]:
@@ -29,10 +42,11 @@ def forms(eras: Sequence[str] = ()) -> dict[str, str]:
     words = lambda ws: "|".join(sorted(ws, key=lambda w: -len(w)))
     found = {"absolute": f"{_Y}(?:-[0-9]+-[0-9]+|/[0-9]+/[0-9]+|年(?:{_N}月(?:{_N}[日号])?)?)", "month_day": f"{_N}月{_N}[日号]"}
     if eras:
-        found["era_year"] = f"(?:{words(eras)})(?:元|{_N})年"
+        # Tried only where a number and the word for year follow within the length of a name.
+        found["era_year"] = f"(?=[{''.join(sorted({e[0] for e in eras}))}].{{1,{max(map(len, eras)) - 1}}}(?:元|{_N})年)(?:{_reigns(eras)})(?:元|{_N})年(?:{_LUNAR_TAIL}|{_SOLAR_TAIL})?"
     return found | {
-        "ganzhi_year": f"[{STEMS}][{BRANCHES}]年",
-        "lunar_date": f"闰?(?:正|冬|腊|{_N})月{_LUNAR_DAY}|闰?[正冬腊]月",
+        "ganzhi_year": f"[{STEMS}][{BRANCHES}]年(?:{_LUNAR_TAIL})?",
+        "lunar_date": f"闰?(?:正|冬|腊|{_N})月{_LUNAR_DAY}|闰?[正冬腊]月|闰{_N}月",
         "offset": f"(?:半|{_N})(?:{words(UNIT_DAYS)})(?:之后|以后|后|之前|以前|前)",
         "month": f"{_N}月(?!{_N}[日号])",
         "day": "(?<![月0-9])[0-9]+[日号]",
@@ -43,28 +57,38 @@ def forms(eras: Sequence[str] = ()) -> dict[str, str]:
     }
 
 
+def first_characters(eras: Sequence[str] = ()) -> str:
+    """A class of the characters with which some form begins; everywhere else a text is passed over at once."""
+    words = [*DEICTIC_DAYS, *VAGUE_TIMES, *SOLAR_TERMS, *FESTIVALS, *HOUR_PERIODS, *WEEKDAYS, *eras]
+    return "[0-9" + "".join(sorted({w[0] for w in words} | set("〇零一二三四五六七八九十两半闰正冬腊初廿周") | set(STEMS))) + "]"
+
+
 def markers(seg: DataFrame, eras: Sequence[str] = (), most: int = MOST_MARKERS) -> DataFrame:
-    """One row per time expression, the first `most` of each document: form, kind, date, offset in days, place in the text."""
+    """One row per time expression, the first `most` of each document: form, kind, date, offset in days, place in the text.
+
+    The text is read in one pass; what is shuffled for the places is a number for each block and the expressions found.
+    """
     kinds = forms(eras)
-    # Every form begins with a digit or a Chinese character, which spares the alternatives at all other places.
-    pattern = "(?=[0-9〇一-鿿])(?:" + "|".join(f"(?:{p})" for p in kinds.values()) + ")"
+    first = first_characters(eras)
+    pattern = f"(?={first})(?:" + "|".join(f"(?:{p})" for p in kinds.values()) + ")"
     text = F.col("content")
-    found = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    rows = seg.where(text.rlike(pattern)).select("doc_id", "seq", "seg", "label", F.posexplode(F.arrays_zip(gaps.alias("gap"), found.alias("text"))).alias("nth", "m"))
-    inside = Window.partitionBy("doc_id", "seq").orderBy("nth")
-    start = F.sum(F.length("m.gap") + F.length("m.text")).over(inside) - F.length("m.text")
-    rows = rows.select("doc_id", "seq", "seg", "label", "nth", "m.text", start.alias("start"))
-    chars = seg.select("doc_id", "seq", visible_chars(text).alias("chars"))
+    found = F.when(text.rlike(first), F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0)))
+    blocks = seg.select("doc_id", "seq", "seg", "label", found.alias("found"), visible_chars(text).alias("chars"), "content")
+    gaps = F.when(F.size("found") > 0, F.slice(F.split(text, pattern, -1), F.lit(1), F.size("found")))
+    blocks = blocks.select("doc_id", "seq", "seg", "label", "chars", F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.col("found").alias("text")).alias("found"))
     whole, upto = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = chars.select("doc_id", "seq", F.coalesce(F.sum("chars").over(upto), F.lit(0)).alias("before"), F.sum("chars").over(whole).alias("total"))
+    placed = blocks.withColumn("before", F.coalesce(F.sum("chars").over(upto), F.lit(0))).withColumn("total", F.sum("chars").over(whole)).where(F.size("found") > 0)
+    rows = placed.select("doc_id", "seq", "seg", "label", "before", "total", F.posexplode("found").alias("nth", "m"))
+    inside = Window.partitionBy("doc_id", "seq").orderBy("nth")
+    start = F.sum(F.col("m.gap") + F.length("m.text")).over(inside) - F.length("m.text")
+    rows = rows.select("doc_id", "seq", "seg", "label", "nth", "before", "total", "m.text", start.alias("start"))
     t = F.col("text")
     form = F.lit(None).cast("string")
     for name, p in reversed(kinds.items()):
         plain = p.replace("(?<![0-9])", "").replace("(?<![月0-9])", "").replace("(?<![东西北后])", "").replace("(?![期代朝])", "")
         form = F.when(t.rlike(f"^(?:{plain})$"), name).otherwise(form)
-    rows = rows.join(before, ["doc_id", "seq"]).withColumn("form", form).withColumn("position", (F.col("before") + F.col("start")) / F.greatest(F.col("total"), F.lit(1)))
-    rows = _read(rows)
+    rows = rows.withColumn("form", form).withColumn("position", (F.col("before") + F.col("start")) / F.greatest(F.col("total"), F.lit(1)))
+    rows = _read(rows, eras)
     return rows.withColumn("marker", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "nth")) - 1).where(F.col("marker") < most).drop("before", "total", "nth")
 
 
@@ -72,18 +96,26 @@ def _part(pattern: str) -> Column:
     return F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
 
 
-def _read(rows: DataFrame) -> DataFrame:
-    """Kind, date and offset of each expression. A day that no calendar has leaves the date null."""
-    year = F.coalesce(number(_part(f"^({_Y.replace('(?<![0-9])', '').replace('(?![0-9])', '')})[-/年]")), F.lit(None).cast("int"))
-    month = F.coalesce(number(_part(f"年({_N})月")), _part("^[0-9]+[-/]([0-9]+)").try_cast("int"))
-    day = F.coalesce(number(_part(f"月({_N})[日号]$")), _part("[-/]([0-9]+)$").try_cast("int"))
+def _read(rows: DataFrame, eras: Sequence[str] = ()) -> DataFrame:
+    """Kind, date and offset of each expression. A day that no calendar has leaves the date null.
+
+    `era` and `regnal`: name and number of a reign year; `tail`: month, day, leap and lunar of what follows a named year.
+    """
+    parts = {
+        "_year": f"^({_Y.replace('(?<![0-9])', '').replace('(?![0-9])', '')})[-/年]", "_month": f"年({_N})月", "_iso_month": "^[0-9]+[-/]([0-9]+)",
+        "_day": f"月({_N})[日号]$", "_iso_day": "[-/]([0-9]+)$", "_count": f"^({_N})",
+    }
+    rows = rows.withColumns({n: _part(p) for n, p in parts.items()})
+    rows = rows.withColumn("_year", number(F.col("_year"))).withColumn("_count", number(F.col("_count")))
+    rows = rows.withColumn("_month", F.coalesce(number(F.col("_month")), F.col("_iso_month").try_cast("int"))).withColumn("_day", F.coalesce(number(F.col("_day")), F.col("_iso_day").try_cast("int")))
+    year, month, day = F.col("_year"), F.col("_month"), F.col("_day")
     iso = F.format_string("%04d-%02d-%02d", year, F.coalesce(month, F.lit(1)), F.coalesce(day, F.lit(1)))
     absolute = F.col("form") == "absolute"
     date = F.when(absolute, F.try_to_date(iso, "yyyy-MM-dd"))
     units = F.lit(None).cast("double")
     for unit, days in reversed(UNIT_DAYS.items()):
         units = F.when(F.col("text").rlike(f"{unit}(?:之后|以后|后|之前|以前|前)$"), days).otherwise(units)
-    count = F.when(F.col("text").startswith("半"), 0.5).otherwise(number(_part(f"^({_N})")).cast("double"))
+    count = F.when(F.col("text").startswith("半"), 0.5).otherwise(F.col("_count").cast("double"))
     sign = F.when(F.col("text").rlike("前$"), -1.0).otherwise(1.0)
     deictic = F.element_at(F.create_map(*[F.lit(x) for kv in DEICTIC_DAYS.items() for x in kv]), F.col("text"))
     kind = F.when(absolute, "absolute").when(F.col("form").isin("offset", "deictic"), "relative").when(F.col("form").isin("vague", "term"), "vague").otherwise("partial")
@@ -92,10 +124,26 @@ def _read(rows: DataFrame) -> DataFrame:
         "*", kind.alias("kind"), precision.alias("precision"), date.alias("date"), year.alias("year"),
         F.when(F.col("form") == "offset", sign * count * units).when(F.col("form") == "deictic", deictic).otherwise(0.0).alias("offset_days"),
         F.when(F.col("form") == "ganzhi_year", index_of_pair(F.substring("text", 1, 2))).alias("wheel"),
-    )
+    ).drop(*parts)
+    made = _with_named_years(made, eras)
     return made.where(~absolute | F.col("date").isNotNull()).where((F.col("form") != "ganzhi_year") | F.col("wheel").isNotNull())
 
 
+def _with_named_years(rows: DataFrame, eras: Sequence[str]) -> DataFrame:
+    """rows with era, regnal and tail; step by step, so that no expression is repeated inside another."""
+    t, none, c = F.col("text"), F.lit("").cast("string"), F.col
+    reign = (c("form") == "era_year") if eras else F.lit(False)
+    rows = rows.withColumn("era", F.when(reign, _part(f"^({_reigns(eras)})") if eras else none))
+    rows = rows.withColumn("_after", F.when(reign, F.substring(t, F.length("era") + 1, F.lit(99)))).withColumn("_tail", F.when(c("form").isin("era_year", "ganzhi_year"), F.nullif(F.regexp_extract(t, f"年({_NAMED_MONTH}.+)$", 1), F.lit(""))))
+    rows = rows.withColumn("_no", F.regexp_extract("_after", f"^({_N})年", 1)).withColumn("_name", F.regexp_extract("_tail", f"^闰?(正|冬|腊|{_N})月", 1)).withColumn("_said", F.regexp_extract("_tail", "月(.+)$", 1))
+    rows = rows.withColumn("_solar", c("_said").rlike("[日号]$")).withColumn("_digits", F.regexp_replace("_said", "[日号]$", ""))
+    month = F.when(c("_name") == "正", 1).when(c("_name") == "冬", 11).when(c("_name") == "腊", 12).otherwise(number(c("_name")))
+    rows = rows.withColumn("regnal", F.when(reign, F.when(c("_after").startswith("元年"), 1).otherwise(number(c("_no")))).cast("int")).withColumn("_m", month.cast("int"))
+    rows = rows.withColumn("_d", F.when(c("_solar"), number(c("_digits"))).otherwise(read_day(c("_said"))).cast("int"))
+    tail = F.struct(c("_m").alias("month"), c("_d").alias("day"), c("_tail").startswith("闰").alias("leap"), (~c("_solar")).alias("lunar"))
+    return rows.withColumn("tail", F.when(c("_tail").isNotNull(), tail)).drop("_after", "_tail", "_no", "_name", "_said", "_solar", "_digits", "_m", "_d")
+
+
 def nearest(rows: DataFrame, key: str, order: str, value: str, name: str = "nearest") -> DataFrame:
     """rows with the nearest other known value of their key by place in order, the earlier of two equally near."""
     w = Window.partitionBy(key).orderBy(order)
@@ -107,11 +155,39 @@ def nearest(rows: DataFrame, key: str, order: str, value: str, name: str = "near
     return placed.withColumn(name, F.when(take_ahead & F.col("_a").isNotNull(), F.col("_a.v")).otherwise(F.col("_b.v"))).drop("_at", "_v", "_b", "_a")
 
 
-def anchored(found: DataFrame) -> DataFrame:
-    """Years of the wheel placed by the nearest dated expression; those without one stay undated."""
-    near = nearest(found, "doc_id", "marker", "year")
-    year = F.when(F.col("wheel").isNotNull() & F.col("nearest").isNotNull(), wheel_year_near(F.col("wheel"), F.col("nearest")))
-    return near.withColumn("date", F.coalesce("date", F.try_to_date(F.format_string("%04d-01-01", year), "yyyy-MM-dd"))).withColumn("kind", F.when(year.isNotNull(), "absolute").otherwise(F.col("kind"))).drop("nearest")
+def anchored(found: DataFrame, eras: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
+    """Years of reigns looked up, and years of the wheel placed by the nearest dated expression; those without one stay undated.
+
+    eras: reigns (name, start_year, end_year), by default the built-in ones. A number that no reign of its name reached is
+    refused: its row goes. Where several reigns allow it, all their years are kept in `years`, and the row stays
+    partial. calendar: months of the lunar calendar, by default those of functions.lunar; a lunar day
+    after a named year becomes a date, or the year alone counts where that month had no such day.
+    """
+    spark = found.sparkSession
+    eras = spark.createDataFrame(SOME_ERAS, "name string, start_year int, end_year int") if eras is None else eras
+    named = found.withColumnRenamed("era", "name")
+    named = era_years(named, eras).withColumnRenamed("name", "era").where((F.col("form") != "era_year") | (F.size("years") > 0))
+    one = (F.col("form") == "era_year") & (F.size("years") == 1)
+    near = nearest(named.withColumn("year", F.when(one, F.element_at("years", 1)).otherwise(F.col("year"))), "doc_id", "marker", "year")
+    placed = F.when(F.col("wheel").isNotNull() & F.col("nearest").isNotNull(), wheel_year_near(F.col("wheel"), F.col("nearest")))
+    told = F.when(one, F.col("year")).otherwise(placed)
+    lunar_tail = F.col("tail.lunar")
+    rows = near.select("*", told.alias("_told"), *[F.when(told.isNotNull() & lunar_tail, F.col(f"tail.{n}")).alias(f"_{n}") for n in ("month", "day", "leap")])
+    rows = to_dates(rows, known_months(spark) if calendar is None else calendar, "_told", "_month", "_day", "_leap", "_lunar")
+    solar = F.when(F.col("_told").isNotNull() & ~lunar_tail, F.try_to_date(F.format_string("%04d-%02d-%02d", F.col("_told"), F.col("tail.month"), F.col("tail.day")), "yyyy-MM-dd"))
+    year = F.try_to_date(F.format_string("%04d-01-01", F.col("_told")), "yyyy-MM-dd")
+    precision = F.when(F.col("_lunar").isNotNull(), "lunar_day").when(solar.isNotNull(), "era_day").otherwise(F.col("precision"))
+    return (
+        rows.withColumn("precision", precision)
+        .withColumn("date", F.coalesce("_lunar", solar, "date", year))
+        .withColumn("kind", F.when(F.col("_told").isNotNull(), "absolute").otherwise(F.col("kind")))
+        .drop("nearest", "_told", "_month", "_day", "_leap", "_lunar")
+    )
+
+
+def histogram(found: DataFrame) -> DataFrame:
+    """doc_id, precision, n: how often each form of time expression occurs in a document."""
+    return found.groupBy("doc_id", "precision").agg(F.count("*").alias("n"))
 
 
 def steps(dated: DataFrame, key: str = "doc_id", order: str = "marker", date: str = "date") -> DataFrame:

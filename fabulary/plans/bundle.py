@@ -6,12 +6,13 @@ checklist needs from another dimension travels as one narrow row per document.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabulary.functions.calendar import SOME_ERAS
 from fabulary.functions.lexicons import ADVERB_STOP_WORDS, ASSERTIVE, EXPLICIT_TERMS, HEDGING, PERSONS, STOCK_PHRASES
 from fabulary.functions.text import TERMINATORS, ratio
 from fabulary.operators import conflict, dialogue, findings, pacing, phrases, plot, sections, segments, setting, structure, theme, timeline, voice, words
@@ -42,6 +43,7 @@ class Lexicons:
     hedging: list[str] = field(default_factory=lambda: HEDGING)
     assertive: list[str] = field(default_factory=lambda: ASSERTIVE)
     adverb: Callable[[], Column] = _tagged_adverb
+    eras: Sequence[tuple] = field(default_factory=lambda: SOME_ERAS)
 
 
 def word_use(blk: DataFrame, tok: DataFrame | None, repeated: DataFrame | None, lex: Lexicons) -> DataFrame:
@@ -65,13 +67,17 @@ def theme_source(signals: DataFrame | None, tok: DataFrame | None) -> DataFrame
     return own if nouns is None else own.unionByName(nouns.join(own.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
-def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None) -> dict[str, DataFrame]:
-    """A frame for each of the fifteen dimensions: those of review(), and the themes.
+def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """A frame for each of the fifteen dimensions: those of review(), and the themes. `only`: the dimensions to plan, by default all.
 
     Themes need the connected components of terms, which run as jobs of their own while this plan is made. Without terms
     they have no rows.
     """
-    found, terms = review(seg, tok, ment, signals, repeated, lex), theme_source(signals, tok)
+    wanted = None if only is None else set(only)
+    found = review(seg, tok, ment, signals, repeated, lex, wanted)
+    if wanted is not None and "theme" not in wanted:
+        return found
+    terms = theme_source(signals, tok)
     if terms is None:
         found["theme"] = seg.select("doc_id", F.lit(None).cast("double").alias("theme_score")).where("false")
     else:
@@ -80,64 +86,86 @@ def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None
     return found
 
 
-def review(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None) -> dict[str, DataFrame]:
+class Plans(dict):
+    """Frames by name, each planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = made = self.makers[name]()
+        return made
+
+
+def review(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """All dimensions but the themes, and the lists that belong to them under names of their own; no job is run.
 
     seg: blocks with segments; ment: mentions with category and nth; signals: doc_id, seq, nth, text; repeated: the
     repeated phrases, by default those of the tokens. What can't be told without tokens, mentions or signals is 0 or null.
+    With `only`, nothing is planned but what those frames need.
     """
+    p = plans(seg, tok, ment, signals, repeated, lex)
+    names = [n for n in p.makers if not n.startswith("_")]
+    return {n: p[n] for n in names if only is None or n in only}
+
+
+def plans(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None) -> Plans:
+    """The frames of review(); names with a leading underscore are what several of them share."""
     lex = lex or Lexicons()
     spark = seg.sparkSession
     if ment is None:
         ment = spark.createDataFrame([], "doc_id string, seq int, nth int, text string, category string").select(F.col("doc_id").cast(seg.schema["doc_id"].dataType), "seq", "nth", "text", "category")
     if repeated is None and tok is not None:
         repeated = words.repeated_phrases(tok)
-    points = pacing.curve(seg, ment, lex.terminators)
-    presence = plot.subjects(seg, ment, signals)
-    # Turns are sections by full path; the segment of a section is that of its first block.
-    path = seg.groupBy("doc_id", "section_path").agg(F.min(F.struct("seq", "seg")).alias("f"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("f.seq")) - 1
-    turns = plot.turning_points(presence).join(path.select("doc_id", order.alias("section"), F.col("f.seg").alias("seg")), ["doc_id", "section"])
-    turns = turns.select("doc_id", F.col("seg").alias("section"), "change")
-    marks, acts = structure.landmarks(points, turns), structure.acts(points, turns)
-    stock, strong = phrases.phrase_hits(seg, lex.stock), phrases.explicit_hits(seg, lex.explicit)
-    fact, place = setting.facts(seg, ment, lex.surroundings), setting.places(seg, ment)
-    dated = timeline.anchored(timeline.markers(seg))
-    said = words.sentence_stats(seg, lex.terminators)
-    found = {
-        "t0": said.join(words.readability(seg, lex.terminators), "doc_id").join(word_use(seg, tok, repeated, lex), "doc_id"),
-        "t1": sections.extreme_sections(seg),
-        "plot": plot.coherence(presence),
-        "pacing": pacing.stats(points),
-        "conflict": conflict.stats(seg, lex.conflict),
-        "setting": setting.stats(fact, place),
-        "cliche": phrases.phrase_stats(seg, stock),
-        "dialogue": dialogue.stats(seg),
-        "explicit": phrases.tier_counts(strong),
-        "structure": structure.model_fit(structure.beats(marks)),
-        "timeline": dated,
-        "voice": voice.rhythm(seg, lex.terminators),
-        "landmarks": marks,
-        "threads": plot.plotlines(presence),
-        "setting_issues": findings.setting_issues(seg, ment, lex.surroundings),
-        "cliche_issues": findings.cliche_issues(seg, stock),
-        "explicit_issues": findings.explicit_issues(seg, strong),
-        "dialogue_issues": findings.dialogue_issues(seg),
-        "structure_issues": findings.structure_issues(points, marks, acts),
-        "timeline_issues": findings.timeline_issues(seg, dated),
-    }
-    wide = review_inputs(seg, found, presence, points, ment, strong, lex)
-    found["checklist"] = rollups.checklist(wide, rollups.checklist_conditions())
-    found["assessment"] = rollups.assessment(wide)
-    found["recommendations"] = rollups.recommendations(wide)
-    return found
+
+    def turns() -> DataFrame:
+        # Turns are sections by full path; the segment of a section is that of its first block.
+        path = seg.groupBy("doc_id", "section_path").agg(F.min(F.struct("seq", "seg")).alias("f"))
+        order = F.row_number().over(Window.partitionBy("doc_id").orderBy("f.seq")) - 1
+        made = plot.turning_points(p["_presence"]).join(path.select("doc_id", order.alias("section"), F.col("f.seg").alias("seg")), ["doc_id", "section"])
+        return made.select("doc_id", F.col("seg").alias("section"), "change")
+
+    p = Plans({
+        "_points": lambda: pacing.curve(seg, ment, lex.terminators),
+        "_presence": lambda: plot.subjects(seg, ment, signals),
+        "_turns": turns,
+        "_acts": lambda: structure.acts(p["_points"], p["_turns"]),
+        "_stock": lambda: phrases.phrase_hits(seg, lex.stock),
+        "_strong": lambda: phrases.explicit_hits(seg, lex.explicit),
+        "t0": lambda: words.sentence_stats(seg, lex.terminators).join(words.readability(seg, lex.terminators), "doc_id").join(word_use(seg, tok, repeated, lex), "doc_id"),
+        "t1": lambda: sections.extreme_sections(seg),
+        "plot": lambda: plot.coherence(p["_presence"]),
+        "pacing": lambda: pacing.stats(p["_points"]),
+        "conflict": lambda: conflict.stats(seg, lex.conflict),
+        "setting": lambda: setting.stats(setting.facts(seg, ment, lex.surroundings), setting.places(seg, ment)),
+        "cliche": lambda: phrases.phrase_stats(seg, p["_stock"]),
+        "dialogue": lambda: dialogue.stats(seg),
+        "explicit": lambda: phrases.tier_counts(p["_strong"]),
+        "structure": lambda: structure.model_fit(structure.beats(p["landmarks"])),
+        "timeline": lambda: timeline.anchored(timeline.markers(seg, [name for name, *_ in lex.eras]), spark.createDataFrame(list(lex.eras), "name string, start_year int, end_year int")),
+        "voice": lambda: voice.rhythm(seg, lex.terminators),
+        "landmarks": lambda: structure.landmarks(p["_points"], p["_turns"]),
+        "threads": lambda: plot.plotlines(p["_presence"]),
+        "setting_issues": lambda: findings.setting_issues(seg, ment, lex.surroundings),
+        "cliche_issues": lambda: findings.cliche_issues(seg, p["_stock"]),
+        "explicit_issues": lambda: findings.explicit_issues(seg, p["_strong"]),
+        "dialogue_issues": lambda: findings.dialogue_issues(seg),
+        "structure_issues": lambda: findings.structure_issues(p["_points"], p["landmarks"], p["_acts"]),
+        "timeline_issues": lambda: findings.timeline_issues(seg, p["timeline"]),
+        "_wide": lambda: review_inputs(seg, p, p["_presence"], p["_points"], ment, p["_strong"], lex),
+        "checklist": lambda: rollups.checklist(p["_wide"], rollups.checklist_conditions()),
+        "assessment": lambda: rollups.assessment(p["_wide"]),
+        "recommendations": lambda: rollups.recommendations(p["_wide"]),
+    })
+    return p
 
 
 def review_inputs(seg: DataFrame, found: dict[str, DataFrame], presence: DataFrame, points: DataFrame, ment: DataFrame, strong: DataFrame, lex: Lexicons) -> DataFrame:
     """One row per document with all that the checklist, the assessment and the recommendations judge."""
     c = F.col
     counted = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
-    moved = timeline.steps(found["timeline"].where(c("date").isNotNull() & c("precision").isin("day", "month"))).where("step = 'backstep'")
+    moved = timeline.steps(found["timeline"].where(c("date").isNotNull() & c("precision").isin(*timeline.ORDERED))).where("step = 'backstep'")
     chars = seg.groupBy("doc_id").agg(F.sum(findings.visible_chars(c("content"))).alias("time_chars"))
     parts = [
         found["t0"].select("doc_id", c("score").alias("readability"), "sentence_count", ratio(c("above_100"), c("sentence_count")).alias("long_share"), "adverb_ratio", "top_adverb", "repeat_ratio", "top_phrase", "repeated"),
@@ -168,17 +196,18 @@ def review_inputs(seg: DataFrame, found: dict[str, DataFrame], presence: DataFra
     return wide.withColumn("time_readable", (c("markers") > 0) & (c("time_chars") >= findings.MIN_TIME_CHARS))
 
 
-def dimension_rows(found: dict[str, DataFrame], hashes: DataFrame) -> DataFrame:
-    """doc_id, input_hash, dimension, tier, score, data: fifteen rows for each document of hashes (doc_id, hash).
+def dimension_rows(found: dict[str, DataFrame], hashes: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """doc_id, input_hash, dimension, tier, score, data: fifteen rows for each document of hashes (doc_id, hash), or those of `only`.
 
     data is the JSON of a document's rows of that dimension, in the order of their columns, '[]' without any. The score
     is null where a dimension has none or nothing to measure. Without an assessment there is nothing to store: an error.
     """
-    missing = [name for name, *_ in DIMENSIONS if name not in found]
+    wanted = [d for d in DIMENSIONS if only is None or d[0] in only]
+    missing = [name for name, *_ in wanted if name not in found]
     if missing:
         raise ValueError(f"no rows for the dimensions {missing}")
     rows = None
-    for name, tier, score in DIMENSIONS:
+    for name, tier, score in wanted:
         frame = found[name]
         columns = [n for n in frame.columns if n != "doc_id"]
         value = F.max(F.col(score).cast("double")) if score else F.lit(None).cast("double")

@@ -76,6 +76,8 @@ _SEG = (
     CASE WHEN n_top < 3 THEN CAST(least(CAST(floor(idx / ceil(n_blocks / 10.0)) AS INT), 9) + 1 AS VARCHAR) || '/10' ELSE section_path END AS label FROM tops),
   axis AS (SELECT doc_id, unnest(range(max(n_segments))) AS seg, max(n_segments) AS n_segments, bool_or(chunked) AS chunked FROM seg GROUP BY doc_id)"""
 )
+#: Content hashes of the blocks: block type, content, section path and title, each with its length.
+_HASHES = """hashes AS (SELECT doc_id, any_value(project_id) AS project_id, sha256('v2' || string_agg(sha256(strlen(block_type) || ':' || block_type || strlen(content) || ':' || content || strlen(section_path) || ':' || section_path || '-'), '' ORDER BY seq)) AS hash FROM blocks GROUP BY doc_id)"""
 _SENT = r"list_filter(string_split_regex(content, '[.!?;]'), lambda x: length(regexp_replace(x, '\s', '', 'g')) > 0)"
 _LENS = rf"list_transform({_SENT}, lambda x: length(regexp_replace(x, '\s', '', 'g')))"
 _QUOTED = r"""coalesce(list_sum(list_transform(regexp_extract_all(content, '[“「『"]([^”」』]*)', 1), lambda x: length(regexp_replace(x, '[\s“「『"]', '', 'g')))), 0)"""
@@ -638,7 +640,7 @@ def graph_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "document_hash",
-    f"{_BLOCKS} SELECT doc_id, sha256('v1' || string_agg(sha256(content), '' ORDER BY seq)) AS hash FROM blocks GROUP BY doc_id",
+    f"{_BLOCKS}, {_HASHES} SELECT doc_id, hash FROM hashes",
 )
 def document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabulary.plans.store import document_hashes

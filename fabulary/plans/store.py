@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 #: Part of every hash; a new version of the measures makes all cached results stale.
-VERSION = "v1"
+VERSION = "v2"
+
+
+def _told(blk: DataFrame, name: str) -> Column:
+    """A value with its length in front; nested values as JSON, null as a dash."""
+    nested = blk.schema[name].dataType.typeName() in ("array", "struct", "map")
+    value = F.to_json(name) if nested else F.col(name).cast("string")
+    return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
 
 def document_hashes(blk: DataFrame) -> DataFrame:
-    """doc_id, hash: the contents of the blocks in order; the document's id is no part of it."""
-    each = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.sha2("content", 256).alias("h")))), lambda x: x["h"])
-    return blk.groupBy("doc_id").agg(F.sha2(F.concat(F.lit(VERSION), F.array_join(each, "")), 256).alias("hash"))
+    """doc_id, hash: all that the measures read of the blocks, in order; the ids of the document and its project are no part of it.
+
+    Each value counts with its length, so text can't move over the border of a field or a block unseen.
+    """
+    read = sorted(c for c in blk.columns if c not in ("project_id", "doc_id", "seq", "seg", "label", "n_segments", "chunked", "batch"))
+    digests = blk.select("doc_id", "seq", F.sha2(F.concat(*[_told(blk, c) for c in read]), 256).alias("h"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("seq", "h"))), lambda x: x["h"])
+    return digests.groupBy("doc_id").agg(F.sha2(F.concat(F.lit(VERSION), F.array_join(each, "")), 256).alias("hash"))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
