@@ -12,7 +12,8 @@ of a page's text. Slots beside it that hold mostly links, and containers beside
 are template; so is text that most pages of the host have alike in the same slot. A page is read by matching it with its
 wrapper: what lies in content slots, or in none, is its text. Elements whose names say what they are (nav, footer, aside,
 forms) and marks of adverts and reader comments, which vary like content and which no alignment can tell from it, go
-too. Where a page marks its article, the text is what lies inside it, whole.
+too. Only where there is no wrapper, or it leaves nothing, does an element that a page marks as its article decide: the text is
+what lies inside it.
 
 Wrappers are joined back by host. They are broadcast only when their measured size is below a bound, else Spark joins
 them by a shuffle, where adaptive execution splits a large host.
@@ -152,21 +153,25 @@ class Slot:
 
 def slots(nodes: list[Node]) -> Slot:
     """The slot of a run of elements, and below it those of their children."""
-    made = Slot(nodes[0].tag, _hash(nodes[0].mark) if nodes[0].mark else 0)
-    made.nodes = nodes
-    texts = [t for t in (n.own_text() for n in nodes) if t]
-    if texts:
-        made.chars = sum(map(len, texts))
-        made.alike = [[_hash("\n".join(texts)), 1], [_hash(texts[0]), 1], [_hash(texts[-1]), 1]]
-    run: list[Node] = []
-    for child in (c for n in nodes for c in n.children()):
-        if run and (child.tag != run[0].tag or child.tag in ALONE):
-            made.kids.append(slots(run))
-            run = []
-        run.append(child)
-    if run:
-        made.kids.append(slots(run))
-    return made
+    top = Slot(nodes[0].tag, _hash(nodes[0].mark) if nodes[0].mark else 0)
+    open_ = [(top, nodes)]
+    while open_:
+        made, own = open_.pop()
+        made.nodes = own
+        texts = [t for t in (n.own_text() for n in own) if t]
+        if texts:
+            made.chars = sum(map(len, texts))
+            made.alike = [[_hash("\n".join(texts)), 1], [_hash(texts[0]), 1], [_hash(texts[-1]), 1]]
+        run: list[Node] = []
+        for child in [*(c for n in own for c in n.children()), None]:
+            if run and (child is None or child.tag != run[0].tag or child.tag in ALONE):
+                below = Slot(run[0].tag, _hash(run[0].mark) if run[0].mark else 0)
+                made.kids.append(below)
+                open_.append((below, run))
+                run = []
+            if child is not None:
+                run.append(child)
+    return top
 
 
 def dump(slot: Slot) -> str:
@@ -229,10 +234,16 @@ def match(a: Slot, b: Slot) -> tuple[int, list]:
     return _worth(a, b) + line[-1], pairs
 
 
+def aligned(a: Slot, b: Slot) -> list:
+    """The matched children of two trees with theirs. The matching calls itself as deep as the trees are; its frames are on the heap."""
+    if sys.getrecursionlimit() < 1_000_000:
+        sys.setrecursionlimit(1_000_000)
+    return match(a, b)[1]
+
+
 def merge(wrapper: Slot, other: Slot) -> None:
     """Adds the slots of a page, or of another wrapper, to a wrapper."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # as deep as the page; frames are on the heap
-    stack = [(wrapper, other, match(wrapper, other)[1])]
+    stack = [(wrapper, other, aligned(wrapper, other))]
     while stack:
         w, o, pairs = stack.pop()
         w.pages, w.chars, w.rest = w.pages + o.pages, w.chars + o.chars, w.rest + o.rest
@@ -273,6 +284,19 @@ def mass(slot: Slot) -> int:
     return total
 
 
+def masses(root: Slot) -> dict[int, int]:
+    """By id: characters of every slot and all below it, each slot seen once."""
+    order, stack = [], [root]
+    while stack:
+        s = stack.pop()
+        order.append(s)
+        stack += s.kids
+    out: dict[int, int] = {}
+    for s in reversed(order):
+        out[id(s)] = s.chars + s.rest + sum(out[id(k)] for k in s.kids)
+    return out
+
+
 def links(slot: Slot) -> int:
     """Characters that lie in links."""
     total, stack = 0, [slot]
@@ -287,9 +311,10 @@ def links(slot: Slot) -> int:
 
 def judge(wrapper: Slot) -> Slot:
     """Marks the slots that are template, from the root down along the slot with most text."""
-    whole, at = mass(wrapper), wrapper
+    of, at = masses(wrapper), wrapper
+    whole = of[id(wrapper)]
     while at.kids and whole:
-        sizes = [mass(k) for k in at.kids]
+        sizes = [of[id(k)] for k in at.kids]
         lead = sizes.index(max(sizes))
         if sizes[lead] < LEADING * whole:
             break
@@ -383,9 +408,8 @@ def _read(root: Node, wrapper: Slot | None) -> tuple[set[int], dict[int, set[int
     fixed: dict[int, set[int]] = {}
     if wrapper is None:
         return dropped, fixed
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
     page = slots([root])
-    stack = [(wrapper, page, match(wrapper, page)[1])]
+    stack = [(wrapper, page, aligned(wrapper, page))]
     while stack:
         w, p, pairs = stack.pop()
         if w.drop:
@@ -399,7 +423,7 @@ def _read(root: Node, wrapper: Slot | None) -> tuple[set[int], dict[int, set[int
 
 
 def main_text(root: Node, wrapper: Slot | None = None) -> str:
-    """The text of a page: blocks in page order, joined by empty lines."""
+    """The text of a page: blocks in page order, joined by empty lines. A wrapper decides what is content; without one the page's own marks do."""
     dropped, fixed = _read(root, wrapper)
     blocks: list[tuple[str, bool]] = []
     pending: list[str] = []
@@ -411,23 +435,12 @@ def main_text(root: Node, wrapper: Slot | None = None) -> str:
         if text:
             blocks.append((text, inside))
 
-    holds = set()  # nodes with an article inside are never dropped
-    if dropped:
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            if node.tag in ("article", "main") and not _aside(node, False):
-                while node is not None and id(node) not in holds:
-                    holds.add(id(node))
-                    node = node.up
-                continue
-            stack += node.children()
     # A stack of node, whether it lies in an article, its next part, and whether its own text is template.
     walk: list[list] = [[root, False, 0, False]]
     while walk:
         top = walk[-1]
         node, in_article, nth, drop = top
-        if nth == 0 and not in_article and id(node) in fixed:
+        if nth == 0 and id(node) in fixed:
             drop = top[3] = _hash(node.own_text()) in fixed[id(node)]
         if nth == len(node.parts):
             if node.tag in BLOCK:
@@ -443,7 +456,7 @@ def main_text(root: Node, wrapper: Slot | None = None) -> str:
         if part.tag in ("br", "wbr", "img", "input"):
             pending.append(" " if part.tag == "br" else "")
             continue
-        if _aside(part, in_article) or (not in_article and id(part) in dropped and id(part) not in holds):
+        if _aside(part, in_article) or id(part) in dropped:
             if part.tag in BLOCK:
                 flush(in_article)
             continue
@@ -453,7 +466,7 @@ def main_text(root: Node, wrapper: Slot | None = None) -> str:
         article = article or inner
         walk.append([part, in_article or inner, 0, False])
     flush(False)
-    if article and (inside := [t for t, own in blocks if own]):
+    if wrapper is None and article and (inside := [t for t, own in blocks if own]):
         return "\n\n".join(inside)
     if not blocks and wrapper is not None:
         return main_text(root)

@@ -1,18 +1,20 @@
 """Secret scans in DataFrame functions only.
 
-Three patterns give base spans. Beyond them, runs of 16 key characters or more are judged by two first-order Markov
-models over characters, one of random strings and one of ordinary identifiers, trained on samples that the corpus labels
-itself: values inside base spans are random; runs outside them whose parts between joining marks are numbers or words
-(letters of one case, or a capital before small ones) are ordinary. Every run is judged, also those samples: it is a
-secret when its log-likelihood ratio exceeds LEAST in sum and MARGIN per transition. What base spans leave of a run is a
-run of its own if it is long enough.
-
-Transitions are counted over all documents by a grouped sum whose result has at most as many rows as there are pairs
+Three patterns give base spans. Beyond them, runs of 16 key characters or more are judged by first-order Markov models
+over characters: one of random strings for each usual alphabet, and one of ordinary identifiers. The random ones are trained on
+a labelled sample drawn by seed, since what secrets a corpus holds says little of those to come. The ordinary one is trained on samples that the corpus
+labels itself: runs outside base spans that joining marks or capitals part into numbers and words of at most 24 letters, and the words and numbers of
+at most WORD_DOCS texts of at most WORD_BYTES, in the order of their hash. A long run without a mark is no sample, for it may be a secret. Every run is judged by the
+model of the smallest alphabet that has all its characters: it is a secret when its log-likelihood ratio against the ordinary model exceeds LEAST in
+sum and MARGIN per transition. What base spans leave of a run is a run of its own if it is long enough. Identifiers
+drawn at random, such as UUIDs, look like secrets to any such model and are reported.
+
+Transitions are counted by a grouped sum whose result has at most as many rows as there are pairs
 of key characters; it becomes a literal array of the second step. Places are code points, ends are exclusive.
 
 Cases: a null text is the empty one and has no spans; matches of one kind do not overlap, those of different kinds may;
-repeated rows pass through one to one; an empty table gives no rows; without any sample both models are uniform and add
-nothing; an output column replaces an input column of the same name, other columns are kept; a long text is read whole;
+repeated rows pass through one to one; an empty table gives no rows; without any ordinary sample that model is uniform over all key characters,
+and every run of a smaller alphabet is random; an output column replaces an input column of the same name, other columns are kept; a long text is read whole;
 of spans that start together the kind first named comes first; rows without an id are kept like others.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +38,18 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex")
 RUN_LENGTH = 16
 RUN = rf"[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}={{0,2}}"
-_PART = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
-ORDINARY = f"^[+/_=-]*{_PART}(?:[+/_=-]+{_PART})*[+/_=-]*$"
+_PART = "(?:[A-Z]?[a-z]{1,23}|[A-Z]{1,15}|[0-9]{1,15})"
+#: Several parts with joining marks between them, or words told apart by their capitals.
+ORDINARY = f"^(?:[+/_=-]*{_PART}(?:[+/_=-]+{_PART})+[+/_=-]*|[A-Z]?[a-z]{{2,23}}(?:[A-Z][a-z]{{1,23}})+(?:[A-Z]?[0-9]{{1,4}})?)$"
+#: Words and numbers that are ordinary, and the bounds of the sample of texts that they come from.
+WORDS = "(?<![A-Za-z0-9+/_=-])[A-Za-z]?(?:[a-z]{1,14}|[A-Z]{1,14}|[0-9]{1,14})(?![A-Za-z0-9+/_=-])"
+WORD_DOCS, WORD_BYTES = 1_000, 200_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
+_SMALL, _LARGE, _DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: Alphabets of random strings, the smaller first: digits (of which the ordinary sample has as many), hexadecimal, base32, letters, letters and digits, base64 and its form for addresses.
+RANDOM = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _SMALL, _LARGE, _LARGE + "234567", _SMALL + _DIGITS, _LARGE + _DIGITS, _SMALL + _LARGE, _SMALL + _LARGE + _DIGITS, _SMALL + _LARGE + _DIGITS + "+/", _SMALL + _LARGE + _DIGITS + "-_", ALPHABET)
+#: Strings drawn for each alphabet, their lengths, and the seed.
+DRAWN, LENGTHS, SEED = 2_000, (16, 64), 17
 #: Log-likelihood ratio per transition, and in sum, above which a run counts as random.
 MARGIN, LEAST = 0.35, 8.0
 #: Transitions that the single-character distribution counts for in each context.
@@ -98,46 +110,99 @@ def _secret_value(span: Column) -> Column:
     return F.when(span["kind"] == "assign", F.regexp_extract(span["value"], ASSIGN, 2)).otherwise(span["value"])
 
 
-def transition_ratios(found: DataFrame) -> list[float]:
-    """Log ratio of random to ordinary for each pair of key characters. found: `base` and `runs` of all documents.
-
-    Rare contexts lean on how often each character occurs at all, which is smoothed by one.
-    """
-    plain = F.filter("runs", lambda r: r["value"].rlike(ORDINARY))
-    samples = found.select(
-        F.explode(
-            F.concat(
-                F.transform("base", lambda s: F.struct(F.lit(1).alias("random"), _secret_value(s).alias("value"))),
-                F.transform(plain, lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
-            )
-        ).alias("s")
-    ).select("s.random", "s.value")
-    pairs = samples.select("random", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
-    counted = pairs.groupBy("random", "pair").count().collect()
+def drawn(alphabet: str, many: int = DRAWN, seed: int = SEED) -> list[str]:
+    """The labelled sample of random strings over an alphabet."""
+    rng = random.Random(f"{seed} {alphabet}")
+    return ["".join(rng.choices(alphabet, k=rng.randint(*LENGTHS))) for _ in range(many)]
+
+
+def numbers(many: int = DRAWN, seed: int = SEED) -> list[str]:
+    """The labelled sample of ordinary numbers: digits in groups, joined as dates, versions and telephone numbers are."""
+    rng = random.Random(f"{seed} numbers")
+    group = lambda: "".join(rng.choices(_DIGITS, k=rng.randint(1, 8)))
+    return [rng.choice(("-", "-", "_", "/", "+", "")).join(group() for _ in range(rng.randint(2, 6))) for _ in range(many)]
+
+
+def ordinary_samples(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """value: ordinary runs of all documents, and identifiers made of neighbouring words and numbers of the sampled texts. found: `runs` of all documents."""
+    t = text_of(text)
+    sample = df.select(t.alias("t")).where(F.octet_length("t").between(1, WORD_BYTES)).orderBy(F.xxhash64("t"), "t").limit(WORD_DOCS)
+    words = sample.select(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)).alias("w")).where(F.size("w") > 1)
+
+    def joined(word: Column, nth: Column) -> Column:
+        """A word and the next, joined in one of the usual ways, by turns."""
+        following, turn = F.element_at("w", nth + 2), F.pmod(nth, F.lit(6))
+        plain = F.concat(word, F.element_at(F.array(*[F.lit(j) for j in ("_", "-", "/", "")]), F.least(turn, F.lit(3)) + 1), following)
+        return F.when(turn < 4, plain).when(turn == 4, F.concat(word, F.initcap(following))).otherwise(F.upper(F.concat(word, F.lit("_"), following)))
+
+    made = words.select(F.explode(F.transform(F.slice("w", 1, F.size("w") - 1), joined)).alias("value"))
+    return made.unionByName(found.select(F.explode(F.filter("runs", lambda r: r["value"].rlike(ORDINARY))).alias("r")).select("r.value"))
+
+
+def _counts(values: DataFrame) -> dict[str, int]:
+    """How often each pair of characters occurs; at most as many rows as pairs of key characters."""
+    pairs = values.where(F.length("value") > 1).select(F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
+    return {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}
+
+
+def _paired(values: list[str]) -> dict[str, int]:
+    seen: dict[str, int] = {}
+    for value in values:
+        for a, b in zip(value, value[1:]):
+            seen[a + b] = seen.get(a + b, 0) + 1
+    return seen
+
+
+def _logs(seen: dict[str, int]) -> dict[str, float]:
+    """Log probability of each second character after each first one. Rare contexts lean on how often each character occurs at all, which is smoothed by one."""
     n = len(ALPHABET)
-    seen = {(r["random"], r["pair"]): r["count"] for r in counted}
-    before = {(label, a): sum(seen.get((label, a + b), 0) for b in ALPHABET) for label in (0, 1) for a in ALPHABET}
-    total = {label: sum(before[label, a] for a in ALPHABET) for label in (0, 1)}
-    alone = {(label, b): (sum(seen.get((label, a + b), 0) for a in ALPHABET) + 1) / (total[label] + n) for label in (0, 1) for b in ALPHABET}
-    log = lambda label, a, b: math.log((seen.get((label, a + b), 0) + LEAN * alone[label, b]) / (before[label, a] + LEAN))
-    return [log(1, a, b) - log(0, a, b) for a in ALPHABET for b in ALPHABET]
+    before = {a: sum(seen.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+    total = sum(before.values())
+    alone = {b: (sum(seen.get(a + b, 0) for a in ALPHABET) + 1) / (total + n) for b in ALPHABET}
+    return {a + b: math.log((seen.get(a + b, 0) + LEAN * alone[b]) / (before[a] + LEAN)) for a in ALPHABET for b in ALPHABET}
+
+
+def transition_ratios(ordinary: DataFrame) -> list[float]:
+    """Log ratio of random to ordinary for each alphabet of RANDOM and each pair of key characters. ordinary: `value` of the ordinary samples."""
+    known, out = _counts(ordinary), []
+    tables = [_paired(drawn(alphabet)) for alphabet in RANDOM]
+    # Numbers are ordinary, whatever their digits: drawn ones make up a fifth of the sample at least.
+    told = _paired(numbers())
+    weight = max(1, sum(known.values()) // (4 * sum(told.values())))
+    for pair, n in told.items():
+        known[pair] = known.get(pair, 0) + weight * n
+    plain = _logs(known)
+    for seen in tables:
+        likely = _logs(seen)
+        out += [likely[a + b] - plain[a + b] for a in ALPHABET for b in ALPHABET]
+    return out
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `spans`: array of (start, rank, stop, kind, value), base spans and those the models add, by start, then kind."""
-    return _judged(base_spans(df, text))
+    found = base_spans(df, text)
+    return _judged(found, ordinary_samples(df, found, text))
 
 
-def _judged(found: DataFrame) -> DataFrame:
-    ratios = F.from_json(F.lit(json.dumps(transition_ratios(found.select("base", "runs")))), "array<double>")
+def _judged(found: DataFrame, ordinary: DataFrame) -> DataFrame:
+    n = len(ALPHABET)
+    ratios = F.from_json(F.lit(json.dumps([round(r, 9) for r in transition_ratios(ordinary)])), "array<double>")
     place = lambda value, i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
 
+    def model(value: Column) -> Column:
+        """Where the ratios of the smallest alphabet that has all characters begin."""
+        out = F.lit((len(RANDOM) - 1) * n * n)
+        for k in reversed(range(len(RANDOM) - 1)):
+            out = F.when(F.translate(value, RANDOM[k], "") == "", k * n * n).otherwise(out)
+        return out
+
     def ratio(value: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.length(value) - 1)
-        return F.aggregate(steps, F.lit(0.0), lambda sum_, i: sum_ + F.element_at(ratios, place(value, i) * len(ALPHABET) + place(value, i + 1) + 1))
+        steps, start = F.sequence(F.lit(1), F.length(value) - 1), F.struct(model(value).alias("at"), F.lit(0.0).alias("sum"))
+        add = lambda s, i: F.struct(s["at"].alias("at"), (s["sum"] + F.element_at(ratios, s["at"] + place(value, i) * n + place(value, i + 1) + 1)).alias("sum"))
+        return F.aggregate(steps, start, add, lambda s: s["sum"])
 
-    random = F.filter("runs", lambda r: ratio(r["value"]) > F.greatest(F.lit(LEAST), MARGIN * (F.length(r["value"]) - 1)))
-    return found.withColumn("spans", F.array_sort(F.concat("base", random)))
+    random_ = F.filter("runs", lambda r: ratio(r["value"]) > F.greatest(F.lit(LEAST), MARGIN * (F.length(r["value"]) - 1)))
+    return found.withColumn("spans", F.array_sort(F.concat("base", random_)))
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
@@ -155,6 +220,8 @@ def redact(df: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of documents."""
-    found = _judged(cut(base_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = cut(base_spans(docs).drop("text"))
+    found = _judged(runs, ordinary_samples(docs, runs))
     many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[many(k).alias(f"n_{k}") for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

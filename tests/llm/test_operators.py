@@ -499,3 +499,31 @@ def test_long_texts_are_scored_in_parts(monkeypatch):
     for size in (64, 320, 1_000):
         monkeypatch.setattr(quality, "_PASS", size)
         assert np.allclose(net.scores(raw), whole, atol=1e-6)
+
+
+def test_very_deep_pages_on_spark(spark, tmp_path):
+    """Pages of one host, nested far beyond the interpreter's usual bound, alone and with others."""
+    import sys
+
+    deep = "<div>" * 20_000 + "{}" + "</div>" * 20_000
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(1_000)
+    try:
+        top = html_text.slots([html_text.parse(deep.format("x"))])
+        assert html_text.masses(top)[id(top)] == 1
+    finally:
+        sys.setrecursionlimit(limit)
+    rows = [(i, "http://deep/p", deep.format(f"text {i}")) for i in range(6)] + [(9, "http://flat/p", "<p>flat</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: f"text {i}" for i in range(6)} | {9: "flat"}
+
+
+def test_the_wrapper_decides_where_pages_mark_an_article(spark):
+    """What an article holds beside the text goes when the host's wrapper calls it template; without the wrapper it stays."""
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(80))
+    page = lambda i: f"<body><article><div><a href=1>Home of the site</a> <a href=2>All the news</a></div><div><p>{body(i)}</p><p>{body(i + 100)}</p></div></article></body>"
+    pages = spark.createDataFrame([(i, "http://one/p", page(i)) for i in range(8)], "page_id long, url string, html string")
+    for r in html_text.extract(pages).collect():
+        want = f"{body(r['page_id'])}\n\n{body(r['page_id'] + 100)}"
+        assert r["text"] == want and html_text.main_text(html_text.parse(page(r["page_id"]))) != want
