@@ -56,12 +56,13 @@ def reports(blk: DataFrame, tables: dict[str, tuple[DataFrame, list[str], str]])
     return report.html_reports(report.markdown(F.col("doc_id"), made, blk))
 
 
-def export_graph(ment: DataFrame, pairs: DataFrame) -> DataFrame:
-    """project_id, json of every project whose graph has no issue. ment and pairs carry project_id."""
+def export_graph(ment: DataFrame, pairs: DataFrame, threads: DataFrame | None = None, turns: DataFrame | None = None, themes: DataFrame | None = None) -> DataFrame:
+    """project_id, json of every project whose graph has no issue. All frames carry project_id; threads, turns and themes make its narratives."""
     node = graph.nodes(graph.entity_stats(ment))
     edge = graph.graph_edges(pairs, node)
-    bad = graph.validate(node, edge).select("project_id").distinct()
-    return report.graph_json(node, edge).join(bad, "project_id", "left_anti")
+    told = None if threads is None else graph.narratives(threads, node, turns, themes)
+    bad = graph.validate(node, edge, told).select("project_id").distinct()
+    return report.graph_json(node, edge, told).join(bad, "project_id", "left_anti")
 
 
 def delete_project(rows: DataFrame, project_id: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions.text import identity_key, stable_id
@@ -12,7 +12,9 @@ from fabulary.functions.text import identity_key, stable_id
 # Fixed values.
 GOLDEN_ANGLE = math.pi * (3.0 - math.sqrt(5.0))
 ALTITUDE = (13.0, 26.0)
-KINDS = {"sustained": "rain_band", "intermittent": "tethered", "burst": "satellite", "late_arrival": "free", "setup_only": "free"}
+#: Distance from the centre at which each kind of narrative stands.
+SHELLS = {"tethered_balloon": 14.0, "cloud": 15.5, "free_balloon": 17.0, "tornado": 19.0, "rain_band": 21.0, "satellite": 23.5}
+VERSION = "1.0"
 
 
 def entity_stats(ment: DataFrame) -> DataFrame:
@@ -48,29 +50,69 @@ def graph_edges(pairs: DataFrame, node: DataFrame) -> DataFrame:
     return met.select("project_id", ident.alias("id"), "source", "target", strength.alias("strength"))
 
 
-def narratives(lines: DataFrame) -> DataFrame:
-    """lines: project_id, subject, shape, rank. Placed on a golden-angle spiral; minor threads are left out."""
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("shape"))
-    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("rank", "subject")) - 1
-    kept = lines.where(F.col("shape").isin(list(KINDS))).withColumn("type", kind).withColumn("nth", nth)
-    angle, radius = F.col("nth") * GOLDEN_ANGLE, F.sqrt(F.col("nth") + 1.0) * 4.0
-    height = F.lit(ALTITUDE[0]) + F.pmod(F.col("nth") * 3.0, F.lit(ALTITUDE[1] - ALTITUDE[0]))
-    return kept.select("project_id", F.concat(F.lit("nar:"), F.substring(F.sha2("subject", 256), 1, 16)).alias("id"), F.col("subject").alias("label"), "type", (radius * F.cos(angle)).alias("x"), height.alias("y"), (radius * F.sin(angle)).alias("z"))
-
-
-def validate(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """project_id, issue, id: what must not be exported. An empty result is a valid graph."""
+def _marked(prefix: str, name: str) -> Column:
+    return F.concat(F.lit("nrr:"), F.substring(F.sha2(F.concat(F.lit(prefix + "\x1f"), identity_key(F.col(name))), 256), 1, 16))
+
+
+def narratives(threads: DataFrame, node: DataFrame, turns: DataFrame | None = None, themes: DataFrame | None = None) -> DataFrame:
+    """project_id, id, label, type, x, y, z, stability, links: what stands in the sky above a project's graph.
+
+    threads: project_id, subject, shape, is_main, coverage, rank; those that are neither main nor have a telling shape are
+    left out. turns: project_id, section, change, appeared (names), rank. themes: project_id, term, coverage, rank;
+    only those that a node bears. Kinds stand on shells of their own, in the order threads, turns, themes, each on the
+    golden angle behind the one before; links are the nodes of the names.
+    """
+    c = F.col
+    kind = (
+        F.when(c("is_main") & (c("shape") == "sustained"), "rain_band").when(c("is_main"), "tethered_balloon")
+        .when(c("shape").isin("intermittent", "burst", "late_arrival"), "satellite").when(c("shape") == "setup_only", "free_balloon")
+    )
+    rows = threads.select("project_id", F.lit(0).alias("part"), "rank", _marked("plot", "subject").alias("id"), c("subject").alias("label"), kind.alias("type"), c("coverage").alias("stability"), F.array("subject").alias("names")).where("type is not null")
+    if turns is not None:
+        rows = rows.unionByName(turns.select("project_id", F.lit(1).alias("part"), "rank", _marked("turn", "section").alias("id"), c("section").alias("label"), F.lit("tornado").alias("type"), (1.0 - c("change")).alias("stability"), c("appeared").alias("names")))
+    if themes is not None:
+        borne = themes.withColumn("_k", identity_key(c("term"))).join(node.select("project_id", identity_key(c("label")).alias("_k")).distinct(), ["project_id", "_k"], "left_semi")
+        rows = rows.unionByName(borne.select("project_id", F.lit(2).alias("part"), "rank", _marked("cloud", "term").alias("id"), c("term").alias("label"), F.lit("cloud").alias("type"), c("coverage").alias("stability"), F.array("term").alias("names")))
+    nth = F.row_number().over(Window.partitionBy("project_id").orderBy("part", "rank", "label")) - 1
+    placed = rows.withColumn("nth", nth)
+    named = placed.select("project_id", "nth", F.posexplode("names").alias("at", "name")).withColumn("_k", identity_key(c("name")))
+    met = named.join(node.select("project_id", identity_key(c("label")).alias("_k"), c("id").alias("_node")), ["project_id", "_k"])
+    links = met.groupBy("project_id", "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "_node"))), lambda x: x["_node"]).alias("links"))
+    radius = F.element_at(F.create_map(*[F.lit(x) for kv in SHELLS.items() for x in kv]), c("type"))
+    polar, turn = 0.7 + 0.15 * F.pmod(c("nth"), F.lit(4)), c("nth") * GOLDEN_ANGLE
+    place = [(radius * F.sin(polar) * F.cos(turn)).alias("x"), (radius * F.cos(polar)).alias("y"), (radius * F.sin(polar) * F.sin(turn)).alias("z")]
+    clamped = F.least(F.greatest(c("stability"), F.lit(0.0)), F.lit(1.0)).alias("stability")
+    none = F.array().cast("array<string>")
+    return placed.join(links, ["project_id", "nth"], "left").select("project_id", "nth", "id", "label", "type", *place, clamped, F.coalesce("links", none).alias("links"))
+
+
+def validate(node: DataFrame, edge: DataFrame, narrative: DataFrame | None = None, project: DataFrame | None = None) -> DataFrame:
+    """project_id, issue, id: what must not be exported. An empty result is a valid graph. project: project_id, version, name."""
     twice = lambda rows, what: rows.groupBy("project_id", "id").count().where("count > 1").select("project_id", F.lit(f"duplicate_{what}").alias("issue"), "id")
+    told = lambda rows, issue: rows.select("project_id", F.lit(issue).alias("issue"), "id")
     ids = node.select("project_id", F.col("id").alias("end")).distinct()
     ends = edge.select("project_id", "id", F.explode(F.array("source", "target")).alias("end"))
-    return (
+    found = (
         twice(node, "node")
         .unionByName(twice(edge, "edge"))
-        .unionByName(node.where(~F.col("layer").between(1, 5)).select("project_id", F.lit("layer").alias("issue"), "id"))
-        .unionByName(node.where(~F.col("weight").between(0, 1)).select("project_id", F.lit("weight").alias("issue"), "id"))
-        .unionByName(edge.where(~F.col("strength").between(0, 1)).select("project_id", F.lit("strength").alias("issue"), "id"))
-        .unionByName(ends.join(ids, ["project_id", "end"], "left_anti").select("project_id", F.lit("missing_end").alias("issue"), "id").distinct())
+        .unionByName(told(node.where(~F.col("layer").between(1, 5)), "layer"))
+        .unionByName(told(node.where(~F.col("weight").between(0, 1)), "weight"))
+        .unionByName(told(edge.where(~F.col("strength").between(0, 1)), "strength"))
+        .unionByName(told(ends.join(ids, ["project_id", "end"], "left_anti"), "missing_end").distinct())
     )
+    if narrative is not None:
+        far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+        linked = narrative.select("project_id", "id", F.explode("links").alias("end"))
+        found = (
+            found.unionByName(twice(narrative, "narrative"))
+            .unionByName(told(narrative.where(~F.coalesce(far.between(*ALTITUDE), F.lit(False))), "altitude"))
+            .unionByName(told(narrative.where(~F.col("stability").between(0, 1)), "stability"))
+            .unionByName(told(linked.join(ids, ["project_id", "end"], "left_anti"), "dangling_link").distinct())
+        )
+    if project is not None:
+        keyed = project.withColumn("id", F.col("project_id"))
+        found = found.unionByName(told(keyed.where(~F.coalesce(F.col("version") == VERSION, F.lit(False))), "version")).unionByName(told(keyed.where(F.coalesce(F.trim("name"), F.lit("")) == ""), "name"))
+    return found
 
 
 def compare_words(counts: DataFrame, k: int = 20) -> DataFrame:

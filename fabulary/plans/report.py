@@ -77,8 +77,13 @@ def html_reports(reports: DataFrame) -> DataFrame:
     return reports.withColumn("html", render("markdown"))
 
 
-def graph_json(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """project_id, json: nodes and edges of each project in a fixed order."""
+def graph_json(node: DataFrame, edge: DataFrame, narrative: DataFrame | None = None) -> DataFrame:
+    """project_id, json: nodes, edges and narratives of each project in a fixed order."""
     n = node.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("id", "label", "layer", "type", "weight"))).alias("nodes"))
     e = edge.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("id", "source", "target", "strength"))).alias("edges"))
-    return n.join(e, "project_id", "left").select("project_id", F.to_json(F.struct(F.lit("1.0").alias("version"), F.col("project_id").alias("name"), "nodes", "edges"), {"pretty": "true"}).alias("json"))
+    rows, parts = n.join(e, "project_id", "left"), ["nodes", "edges"]
+    if narrative is not None:
+        position = F.struct("x", "y", "z").alias("position")
+        told = F.transform(F.array_sort(F.collect_list(F.struct("nth", "id", "label", "type", position, "stability", "links"))), lambda t: t.dropFields("nth"))
+        rows, parts = rows.join(narrative.groupBy("project_id").agg(told.alias("narratives")), "project_id", "left"), [*parts, "narratives"]
+    return rows.select("project_id", F.to_json(F.struct(F.lit("1.0").alias("version"), F.col("project_id").alias("name"), *parts), {"pretty": "true"}).alias("json"))

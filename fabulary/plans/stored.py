@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabulary.functions import calendar, lunar
-from fabulary.operators import segments, timeline
+from fabulary.operators import plot, segments, timeline
 from fabulary.operators.components import ensure_checkpoint_dir
-from fabulary.plans import bundle, incremental, reviews
+from fabulary.plans import bundle, graph, incremental, reviews
 from fabulary.plans import queries as q
 from fabulary.plans.library import Library
 from fabulary.plans.queries import query
@@ -89,6 +89,29 @@ def results_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.groupBy("dimension").agg(F.count("*").alias("documents"), F.countDistinct("hash", "project_id").alias("contents"))
 
 
+# --- what stands above the graph
+
+
+_SHELL = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in graph.SHELLS.items()) + " END"
+
+
+@query(
+    "graph_narratives",
+    f"""{q._PRESENCE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, mentions DESC, subject) AS rank FROM threads),
+k AS (SELECT doc_id, subject, rank, coverage, CASE WHEN rank <= 3 AND coverage >= 0.25 AND shape = 'sustained' THEN 'rain_band' WHEN rank <= 3 AND coverage >= 0.25 THEN 'tethered_balloon'
+  WHEN shape IN ('intermittent', 'burst', 'late_arrival') THEN 'satellite' WHEN shape = 'setup_only' THEN 'free_balloon' END AS type FROM r WHERE rank <= 12),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS nth, {_SHELL} AS radius FROM k WHERE type IS NOT NULL)
+SELECT doc_id, nth, subject AS label, type, round(radius * sin(0.7 + 0.15 * (nth % 4)) * cos(nth * {graph.GOLDEN_ANGLE!r}), 6) AS x, round(radius * cos(0.7 + 0.15 * (nth % 4)), 6) AS y, round(radius * sin(0.7 + 0.15 * (nth % 4)) * sin(nth * {graph.GOLDEN_ANGLE!r}), 6) AS z, 1 AS links FROM n""",
+)
+def graph_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads of every document as narratives of its graph, each linked to the node of its subject."""
+    presence = q.presence(spark, sf_dir)
+    lines = plot.plotlines(presence).withColumnRenamed("doc_id", "project_id")
+    node = graph.nodes(graph.entity_stats(presence.select(F.col("doc_id").alias("project_id"), F.col("subject").alias("text"), F.lit("PRODUCT").alias("category"))))
+    made = graph.narratives(lines, node)
+    return made.select(F.col("project_id").alias("doc_id"), "nth", "label", "type", *[F.round(c, 6).alias(c) for c in "xyz"], F.size("links").alias("links"))
+
+
 # --- dates told by reigns, wheel and moon
 
 

@@ -1,7 +1,9 @@
 """The measures on small frames."""
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fabulary.functions import calendar, lexicon, text
@@ -198,3 +200,27 @@ def test_same_rows_whatever_the_partitions(spark):
     a = sorted(map(tuple, pacing.curve(segments.with_segments(blk)).collect()), key=str)
     b = sorted(map(tuple, pacing.curve(segments.with_segments(blk.repartition(7))).collect()), key=str)
     assert a == b
+
+
+def test_narratives_stand_in_their_shells_and_link_to_nodes(spark):
+    threads = [("p", s, shape, main, 0.9, i) for i, (s, shape, main) in enumerate([("Ann", "sustained", True), ("Bob", "burst", True), ("Cid", "minor", False), ("Dan", "late_arrival", False), ("Eve", "setup_only", False), ("Flo", "sustained", False)] + [(f"T{k}", "burst", False) for k in range(30)])]
+    lines = spark.createDataFrame(threads, "project_id string, subject string, shape string, is_main boolean, coverage double, rank int")
+    turns = spark.createDataFrame([("p", "c2", 1.5, ["bob", "nobody", "ANN"], 1)], "project_id string, section string, change double, appeared array<string>, rank int")
+    themes = spark.createDataFrame([("p", "sea", 0.5, 1), ("p", "unborne", 0.5, 2)], "project_id string, term string, coverage double, rank int")
+    names = ["Ann", "Bob", "Dan", "Sea"]
+    node = spark.createDataFrame([("p", f"n{i}", n, 1, "PERSON", 0.5) for i, n in enumerate(names)], "project_id string, id string, label string, layer int, type string, weight double")
+    got = {r.label: r for r in graph.narratives(lines, node, turns, themes).collect()}
+    assert {k: got[k].type for k in ("Ann", "Bob", "Dan", "Eve", "c2", "sea")} == {"Ann": "rain_band", "Bob": "tethered_balloon", "Dan": "satellite", "Eve": "free_balloon", "c2": "tornado", "sea": "cloud"}
+    assert not {"Cid", "Flo", "unborne"} & set(got) and got["c2"].links == ["n1", "n0"] and got["c2"].stability == 0.0 and got["Eve"].links == []
+    for i, label in enumerate(["Ann", "Bob", "Dan", "Eve"] + [f"T{k}" for k in range(30)] + ["c2", "sea"]):
+        r = got[label]
+        radius, polar, turn = graph.SHELLS[r.type], 0.7 + 0.15 * (i % 4), i * graph.GOLDEN_ANGLE
+        assert r.nth == i and (r.x, r.y, r.z) == pytest.approx((radius * math.sin(polar) * math.cos(turn), radius * math.cos(polar), radius * math.sin(polar) * math.sin(turn)))
+    edge = spark.createDataFrame([], "project_id string, id string, source string, target string, strength double")
+    fine = graph.narratives(lines, node, turns, themes)
+    project = spark.createDataFrame([("p", graph.VERSION, "Book")], "project_id string, version string, name string")
+    assert graph.validate(node, edge, fine, project).collect() == []
+    broken = fine.limit(1).withColumns({"x": F.lit(99.0), "stability": F.lit(2.0), "links": F.array(F.lit("none"))})
+    bad = spark.createDataFrame([("q", "0.9", " "), ("r", None, None)], "project_id string, version string, name string")
+    issues = sorted((r.project_id, r.issue) for r in graph.validate(node, edge, fine.union(broken), bad).collect())
+    assert issues == [("p", "altitude"), ("p", "dangling_link"), ("p", "duplicate_narrative"), ("p", "stability"), ("q", "name"), ("q", "version"), ("r", "name"), ("r", "version")]
