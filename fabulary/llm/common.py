@@ -51,13 +51,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounds(values: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Where slices of at most so many bytes begin and end; one long value stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = done = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield at, to
+        at, done = to, int(ends[to - 1])
+
+
 def parts(batches: Iterator[pa.Array], most: int = 1 << 18) -> Iterator[pa.Array]:
     """The values of all batches, in slices of at most so many bytes (one long value alone): workers hold no more than that as Python objects."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
-        at = done = 0
-        while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        for at, to in bounds(batch, most):
             yield batch.slice(at, to - at)
-            at, done = to, int(ends[to - 1])
     pa.default_memory_pool().release_unused()

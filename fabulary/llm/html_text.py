@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulary.llm.common import cut, partitions, parts, table
+from fabulary.llm.common import bounds, cut, partitions, parts, table
 
 #: Distinct pages that a wrapper needs; share of them that have a text alike before it is template.
 LEAST, ALIKE = 5, 0.6
@@ -48,6 +48,8 @@ LEADING, MARGINAL, LINKED = 0.5, 0.15, 0.6
 CHILDREN = 64
 #: Hosts whose wrappers a partition holds before it hands them on.
 HOSTS = 4_096
+#: Bytes of the wrappers, as written, that a task keeps as trees.
+HELD_BYTES = 2_000_000
 #: Bytes of all wrappers up to which they are broadcast.
 BROADCAST_BYTES = 16_000_000
 
@@ -334,10 +336,11 @@ def host_of(url: Column) -> Column:
 
 def _grown(wrappers: Iterable[str]) -> Slot:
     """One wrapper of many, in an order that does not depend on how they came."""
-    made = [load(w) for w in sorted(wrappers)]
-    for other in made[1:]:
-        merge(made[0], other)
-    return made[0]
+    first, *rest = sorted(wrappers)
+    made = load(first)
+    for other in rest:  # one at a time as a tree
+        merge(made, load(other))
+    return made
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +351,8 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([dump(s) for s in held.values()], pa.string())})
 
     for batch in batches:
-        for at in range(0, len(batch), 200):
-            for row in batch.slice(at, 200).to_pylist():
+        for at, to in bounds(batch.column("tree")):
+            for row in batch.slice(at, to - at).to_pylist():
                 tree = load(row["tree"])
                 if row["host"] in held:
                     merge(held[row["host"]], tree)
@@ -486,13 +489,15 @@ def extract(pages: DataFrame) -> DataFrame:
     @F.arrow_udf("string")
     def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known: dict[str | None, Slot | None] = {None: load(every) if every else None}
+        held = 0
         for html, wrapper in batches:
             out = []
-            for at in range(0, len(html), 100):
-                for page, own in zip(html.slice(at, 100).to_pylist(), wrapper.slice(at, 100).to_pylist()):
+            for at, to in bounds(html):
+                for page, own in zip(html.slice(at, to - at).to_pylist(), wrapper.slice(at, to - at).to_pylist()):
                     if own not in known:
-                        if len(known) > 256:
-                            known = {None: known[None]}
+                        held += len(own)
+                        if held > HELD_BYTES:
+                            known, held = {None: known[None]}, len(own)
                         known[own] = load(own)
                     out.append(main_text(parse(page or ""), known[own]))
             yield pa.array(out, pa.string())
