@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fabulary.functions.calendar import SOME_ERAS
 from fabulary.functions.lexicons import ADVERB_STOP_WORDS, ASSERTIVE, EXPLICIT_TERMS, HEDGING, PERSONS, STOCK_PHRASES
 from fabulary.functions.text import TERMINATORS, ratio
+from fabulary.operators.components import ensure_checkpoint_dir
 from fabulary.operators import conflict, dialogue, findings, pacing, phrases, plot, sections, segments, setting, structure, theme, timeline, voice, words
 from fabulary.plans import rollups
 
@@ -86,6 +87,12 @@ def measure(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None
     return found
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 class Plans(dict):
     """Frames by name, each planned when it is first asked for."""
 
@@ -110,8 +117,12 @@ def review(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None
     return {n: p[n] for n in names if only is None or n in only}
 
 
-def plans(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None) -> Plans:
-    """The frames of review(); names with a leading underscore are what several of them share."""
+def plans(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None = None, signals: DataFrame | None = None, repeated: DataFrame | None = None, lex: Lexicons | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Plans:
+    """The frames of review(); names with a leading underscore are what several of them share.
+
+    keep: what becomes of the frames that others are made of, by default nothing. Writing them down (`checkpointed`) has
+    each read the text once, where one plan of all would read it again for every use, and keeps the plans small.
+    """
     lex = lex or Lexicons()
     spark = seg.sparkSession
     if ment is None:
@@ -127,33 +138,33 @@ def plans(seg: DataFrame, tok: DataFrame | None = None, ment: DataFrame | None =
         return made.select("doc_id", F.col("seg").alias("section"), "change")
 
     p = Plans({
-        "_points": lambda: pacing.curve(seg, ment, lex.terminators),
-        "_presence": lambda: plot.subjects(seg, ment, signals),
+        "_points": lambda: keep(pacing.curve(seg, ment, lex.terminators)),
+        "_presence": lambda: keep(plot.subjects(seg, ment, signals)),
         "_turns": turns,
         "_acts": lambda: structure.acts(p["_points"], p["_turns"]),
-        "_stock": lambda: phrases.phrase_hits(seg, lex.stock),
-        "_strong": lambda: phrases.explicit_hits(seg, lex.explicit),
-        "t0": lambda: words.sentence_stats(seg, lex.terminators).join(words.readability(seg, lex.terminators), "doc_id").join(word_use(seg, tok, repeated, lex), "doc_id"),
+        "_stock": lambda: keep(phrases.phrase_hits(seg, lex.stock)),
+        "_strong": lambda: keep(phrases.explicit_hits(seg, lex.explicit)),
+        "t0": lambda: keep(words.sentence_stats(seg, lex.terminators).join(words.readability(seg, lex.terminators), "doc_id").join(word_use(seg, tok, repeated, lex), "doc_id")),
         "t1": lambda: sections.extreme_sections(seg),
         "plot": lambda: plot.coherence(p["_presence"]),
-        "pacing": lambda: pacing.stats(p["_points"]),
-        "conflict": lambda: conflict.stats(seg, lex.conflict),
-        "setting": lambda: setting.stats(setting.facts(seg, ment, lex.surroundings), setting.places(seg, ment)),
-        "cliche": lambda: phrases.phrase_stats(seg, p["_stock"]),
+        "pacing": lambda: keep(pacing.stats(p["_points"])),
+        "conflict": lambda: keep(conflict.stats(seg, lex.conflict)),
+        "setting": lambda: keep(setting.stats(setting.facts(seg, ment, lex.surroundings), setting.places(seg, ment))),
+        "cliche": lambda: keep(phrases.phrase_stats(seg, p["_stock"])),
         "dialogue": lambda: dialogue.stats(seg),
         "explicit": lambda: phrases.tier_counts(p["_strong"]),
         "structure": lambda: structure.model_fit(structure.beats(p["landmarks"])),
-        "timeline": lambda: timeline.anchored(timeline.markers(seg, [name for name, *_ in lex.eras]), spark.createDataFrame(list(lex.eras), "name string, start_year int, end_year int")),
+        "timeline": lambda: keep(timeline.anchored(timeline.markers(seg, [name for name, *_ in lex.eras]), spark.createDataFrame(list(lex.eras), "name string, start_year int, end_year int"))),
         "voice": lambda: voice.rhythm(seg, lex.terminators),
-        "landmarks": lambda: structure.landmarks(p["_points"], p["_turns"]),
+        "landmarks": lambda: keep(structure.landmarks(p["_points"], p["_turns"])),
         "threads": lambda: plot.plotlines(p["_presence"]),
         "setting_issues": lambda: findings.setting_issues(seg, ment, lex.surroundings),
         "cliche_issues": lambda: findings.cliche_issues(seg, p["_stock"]),
         "explicit_issues": lambda: findings.explicit_issues(seg, p["_strong"]),
         "dialogue_issues": lambda: findings.dialogue_issues(seg),
-        "structure_issues": lambda: findings.structure_issues(p["_points"], p["landmarks"], p["_acts"]),
+        "structure_issues": lambda: keep(findings.structure_issues(p["_points"], p["landmarks"], p["_acts"])),
         "timeline_issues": lambda: findings.timeline_issues(seg, p["timeline"]),
-        "_wide": lambda: review_inputs(seg, p, p["_presence"], p["_points"], ment, p["_strong"], lex),
+        "_wide": lambda: keep(review_inputs(seg, p, p["_presence"], p["_points"], ment, p["_strong"], lex)),
         "checklist": lambda: rollups.checklist(p["_wide"], rollups.checklist_conditions()),
         "assessment": lambda: rollups.assessment(p["_wide"]),
         "recommendations": lambda: rollups.recommendations(p["_wide"]),

@@ -467,7 +467,7 @@ def timeline_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nineteen rules over the documents, with mentions, signals and repeated phrases of their own texts."""
     seg = doc_segments(spark, sf_dir)
-    return bundle.review(seg, corpus.terms(seg), named(seg), signals(seg), words.text_phrases(seg), LATIN)["checklist"]
+    return bundle.plans(seg, corpus.terms(seg), named(seg), signals(seg), words.text_phrases(seg), LATIN, bundle.checkpointed)["checklist"]
 
 
 @query("concerns", f"SELECT doc_id, severity, rule AS title FROM ({ORACLE['recommendations']})")
