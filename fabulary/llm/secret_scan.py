@@ -126,7 +126,11 @@ def numbers(many: int = DRAWN, seed: int = SEED) -> list[str]:
 def ordinary_samples(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """value: ordinary runs of all documents, and identifiers made of neighbouring words and numbers of the sampled texts. found: `runs` of all documents."""
     t = text_of(text)
-    sample = df.select(t.alias("t")).where(F.octet_length("t").between(1, WORD_BYTES)).orderBy(F.xxhash64("t"), "t").limit(WORD_DOCS)
+    # Twice the share that is wanted, by hash, so that a task hands on a few texts only; copies of a text count once.
+    n = found.count()
+    top = (1 << 63) - 1 if n <= 2 * WORD_DOCS else (2 * WORD_DOCS * (1 << 64)) // n - (1 << 63)
+    some = df.select(t.alias("t")).withColumn("h", F.xxhash64("t")).where((F.col("h") <= top) & F.octet_length("t").between(1, WORD_BYTES))
+    sample = some.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(WORD_DOCS)
     words = sample.select(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)).alias("w")).where(F.size("w") > 1)
 
     def joined(word: Column, nth: Column) -> Column:

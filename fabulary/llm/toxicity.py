@@ -229,10 +229,14 @@ def train(docs: DataFrame, labels: DataFrame, mark: str = "toxic", rows: int = S
     """Fits on the labelled documents (doc_id, text; doc_id and the mark): of each mark at most so many rows and bytes."""
     marked = labels.where(F.col(mark).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(mark) > 0).cast("int").alias("mark"))
     known = docs.select("doc_id", F.octet_length(text_of()).alias("size")).join(marked, "doc_id")
+    known = known.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
+    many = {r["mark"]: r["count"] for r in known.groupBy("mark").count().collect()}
     chosen: dict = {}
     for side in (0, 1):
-        total = 0
-        for r in known.where(F.col("mark") == side).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "size").limit(rows).collect():
+        total, n = 0, many.get(side, 0)
+        # Twice the share that is wanted, by hash, so that a task hands on a few rows only.
+        top = (1 << 63) - 1 if n <= 2 * rows else (2 * rows * (1 << 64)) // n - (1 << 63)
+        for r in known.where((F.col("mark") == side) & (F.col("h") <= top)).orderBy("h", "doc_id", "size").limit(rows).collect():
             if total + r["size"] <= most and r["doc_id"] not in chosen:
                 chosen[r["doc_id"]] = side
                 total += r["size"]
