@@ -72,10 +72,13 @@ def with_toc(blk: DataFrame, entries: DataFrame) -> DataFrame:
 
     Each entry takes the first fitting block behind the one before it: a title block that equals or holds it, else any
     block that equals it. That is sequential within a document, so documents are matched one by one in a grouped map over
-    their titles and short lines; the paths are then carried forward by a window.
+    their titles and the blocks that equal an entry; the paths are then carried forward by a window.
     """
-    keys = blk.select("doc_id", "seq", title_key(F.col("content")).alias("key"), (F.col("block_type") == "title").alias("is_title")).where(F.length("key") <= 200)
+    keys = blk.select("doc_id", "seq", title_key(F.col("content")).alias("key"), (F.col("block_type") == "title").alias("is_title"))
     wanted = entries.select("doc_id", "nth", "title", "level", title_key(F.col("title")).alias("want"))
+    # Of other blocks only those that equal an entry can be taken, whatever their length.
+    equal = keys.where(~F.col("is_title")).join(wanted.select("doc_id", F.col("want").alias("key")).distinct(), ["doc_id", "key"], "left_semi")
+    keys = keys.where("is_title").unionByName(equal)
 
     def match(k: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         k, w = k.sort_values("seq"), w.sort_values("nth")

@@ -68,6 +68,16 @@ def test_annotated_project(spark, tmp_path):
     assert nlp_json.tokens(nlp_json.blocks(spark, str(folder / "semantic_result.json"))).count() == 4
 
 
+def test_long_titles_are_matched(spark):
+    """Titles have no bound: a title block that holds the entry, and a paragraph that equals it."""
+    long = "很长的标题" * 60
+    rows = [("d", 0, "第一章" + long, "title"), ("d", 1, "正文" * 500, "paragraph"), ("d", 2, long + "二", "paragraph"), ("d", 3, "尾", "paragraph")]
+    blk = spark.createDataFrame([(d, i, t, k, "") for d, i, t, k in rows], "doc_id string, seq int, content string, block_type string, section_path string")
+    entries = spark.createDataFrame([("d", 0, "第一章" + long, 1), ("d", 1, long + "二", 1)], "doc_id string, nth int, title string, level int")
+    got = [r.section_path for r in nlp_json.with_toc(blk, entries).orderBy("seq").collect()]
+    assert got == ["第一章" + long] * 2 + [long + "二"] * 2
+
+
 def test_cache_and_upsert(spark, tmp_path):
     blk = lambda *c: spark.createDataFrame([("d", i, x) for i, x in enumerate(c)], "doc_id string, seq int, content string")
     h = lambda *c: store.document_hashes(blk(*c)).first().hash
