@@ -58,7 +58,7 @@ class Library:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.space = "library_" + hashlib.sha256(self.path.encode()).hexdigest()[:12]
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.space}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.space} LOCATION '{self.path}/catalog'")
         for name, schema in TABLES.items():
             self._declare(name, schema)
 
