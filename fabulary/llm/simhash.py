@@ -34,6 +34,8 @@ WORDS, RADIUS, SEED = 3, 2, 42
 #: Values of a tree on average, values above which it is dealt out again and by how many bits, rows of a shard on average.
 TREE, CROWDED, FINER, SHARD_ROWS = 1_024, 8_192, 10, 50_000
 _QUERIES = 4_096
+#: Shingles whose bits are counted at once.
+_SLICE = 8_192
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -48,11 +50,19 @@ def shingle_hashes(text: str, n: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist())], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the rows, as signed words. hashes: a row of one or more words for each shingle."""
+    n, width = hashes.shape
+    counts = np.zeros(64 * width, np.int64)
+    for at in range(0, n, _SLICE):
+        part = np.ascontiguousarray(hashes[at : at + _SLICE].astype(">u8"))
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8 * width), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n).view(">i8").astype(np.int64)
+
+
 def fingerprint(text: str, n: int = WORDS) -> int:
     """Signed 64-bit SimHash of the n-word shingles, repeats included."""
-    hashes = shingle_hashes(text, n)
-    counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
+    return int(majority(shingle_hashes(text, n)[:, None])[0])
 
 
 def simhash(text: Column, n: int = WORDS) -> Column:
@@ -67,44 +77,49 @@ def simhash(text: Column, n: int = WORDS) -> Column:
 
 
 class BkForest:
-    """BK-trees of many buckets at once. values are sorted by bucket; `roots` are the first places of the buckets."""
+    """BK-trees of many buckets at once. values (one word or a row of words each) are sorted by bucket; `roots` are the first places of the buckets."""
 
     def __init__(self, bucket: np.ndarray, value: np.ndarray) -> None:
-        self.value = value
+        self.value = value if value.ndim == 2 else value[:, None]
+        self.span = 64 * self.value.shape[1] + 1
         first = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, bool)
         self.root = np.maximum.accumulate(np.where(first, np.arange(len(bucket)), 0)) if len(bucket) else np.zeros(0, np.int64)
         parents, distances, children = [], [], []
         at, moving = self.root.copy(), np.flatnonzero(~first)
         while len(moving):  # one level of all trees a round
-            apart = np.bitwise_count(value[moving] ^ value[at[moving]]).astype(np.int64)
-            edge = at[moving] * 65 + apart
+            edge = at[moving] * self.span + self._apart(moving, at[moving])
             edges, lead, nth = np.unique(edge, return_index=True, return_inverse=True)
             child = moving[lead]
-            parents.append(edges // 65)
-            distances.append(edges % 65)
+            parents.append(edges // self.span)
+            distances.append(edges % self.span)
             children.append(child)
             at[moving] = child[nth]
             stays = np.zeros(len(moving), bool)
             stays[lead] = True
             moving = moving[~stays]
         joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        key = joined(parents) * 65 + joined(distances)
+        key = joined(parents) * self.span + joined(distances)
         order = np.argsort(key, kind="stable")
         self.key, self.child = key[order], joined(children)[order]
         self.compared = 0
 
+    def _apart(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Hamming distances of the values at places of the same bucket."""
+        bits = np.bitwise_count(self.value[one] ^ self.value[two])
+        return bits[:, 0].astype(np.int64) if bits.shape[1] == 1 else bits.sum(axis=1, dtype=np.int64)
+
     def pairs(self, places: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, smaller place) of all values of the same bucket within the radius."""
         found_a, found_b = [], []
         who, node = places, self.root[places]
         while len(who):
             self.compared += len(who)
-            apart = np.bitwise_count(self.value[who] ^ self.value[node]).astype(np.int64)
+            apart = self._apart(who, node)
             hit = (apart <= radius) & (node < who)
             found_a.append(who[hit])
             found_b.append(node[hit])
-            first = np.searchsorted(self.key, node * 65 + np.maximum(apart - radius, 0), side="left")
-            last = np.searchsorted(self.key, node * 65 + np.minimum(apart + radius, 64), side="right")
+            first = np.searchsorted(self.key, node * self.span + np.maximum(apart - radius, 0), side="left")
+            last = np.searchsorted(self.key, node * self.span + np.minimum(apart + radius, self.span - 1), side="right")
             many = last - first
             who = np.repeat(who, many)
             node = self.child[np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))]
