@@ -206,12 +206,13 @@ def components(edges: DataFrame) -> DataFrame:
         if state == told or not state[0]:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
         told = state
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        ends = [F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "ba")]
+        both = edges.select(F.inline(F.array(*ends)))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        edges = cut(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(least, "a").select("m", F.explode(F.array("a", "b")).alias("a")).where("a > m")
+        edges = cut(small.select("a", F.col("m").alias("b")).distinct())
 
 
 def _grouped(docs: DataFrame, radius: int, n: int) -> tuple[DataFrame, DataFrame]:

@@ -94,3 +94,12 @@ def test_buckets_of_the_same_nodes_are_searched_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "another text of some words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.keep_one(docs).collect()) == [1, 3]
     assert seen == [2] and len(ran) == 1
+
+
+def test_rounds_of_components_read_the_edges_once(spark, monkeypatch):
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([(k + 1, k) for k in range(20)] + [(40, 30), (41, 30), (42, 41)], "a long, b long").coalesce(2)
+    label = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert label == {k: 0 for k in range(1, 21)} | {40: 30, 41: 30, 42: 30}
+    assert len(plans) > 2 and not any("Union" in p for p in plans)
