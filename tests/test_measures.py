@@ -61,6 +61,13 @@ def test_pacing_of_repeated_and_empty_text(spark):
     assert pacing.stats(pacing.curve(segments.with_segments(blocks(spark)))).count() == 0
 
 
+def test_a_very_long_sentence_drags(spark):
+    seg = segments.with_segments(blocks(spark, "字" * 50_000 + "。", "“走！”", "“来！”", sections_=list("ABC")))
+    points = pacing.curve(seg)
+    assert {r.seg: r.length_squares for r in points.collect()} == {0: 50_000**2, 1: 5, 2: 5}
+    assert [(r.seg, r.char_count) for r in pacing.drag_sections(points).collect()] == [(0, 50_001)]
+
+
 def test_conflict_has_no_score_without_terms(spark):
     seg = segments.with_segments(blocks(spark, "平静", "战斗战斗", "安宁", sections_=list("ABC")))
     s = conflict.stats(seg).first()
