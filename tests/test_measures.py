@@ -68,6 +68,15 @@ def test_a_very_long_sentence_drags(spark):
     assert [(r.seg, r.char_count) for r in pacing.drag_sections(points).collect()] == [(0, 50_001)]
 
 
+def test_sentence_deviation_beyond_a_long(spark):
+    n, long = 2_000_001, 6_000_000  # one long sentence among two million of one character: squares times n is 7.2e19
+    row = spark.createDataFrame([(n - 1 + long, n - 1 + long * long, n), (7, 49, 1)], "total long, squares long, n long")
+    got = [r[0] for r in row.select(pacing.deviation(*map(F.col, row.columns))).collect()]
+    assert got == [pytest.approx(math.sqrt((n - 1 + long * long) * n - (n - 1 + long) ** 2) / n), 0.0]
+    points = pacing.curve(segments.with_segments(blocks(spark, "字" * 50_000 + "。短。", sections_=["A"])))
+    assert pacing.stats(points).first().sentence_stdev == pytest.approx(24_999.5)
+
+
 def test_conflict_has_no_score_without_terms(spark):
     seg = segments.with_segments(blocks(spark, "平静", "战斗战斗", "安宁", sections_=list("ABC")))
     s = conflict.stats(seg).first()
