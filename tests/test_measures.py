@@ -77,6 +77,12 @@ def test_sentence_deviation_beyond_a_long(spark):
     assert pacing.stats(points).first().sentence_stdev == pytest.approx(24_999.5)
 
 
+def test_a_tension_equal_to_the_mean_is_not_below_it(spark):
+    assert (0.1 + 0.1 + 0.1) / 3 > 0.1
+    curve = spark.createDataFrame([(d, i, str(i), n, t) for d, low in (("d", 0.1), ("e", 0.09)) for i, (n, t) in enumerate([(100, low), (10, 0.1), (10, 0.1)])], "doc_id string, seg int, label string, char_count long, tension double")
+    assert [(r.doc_id, r.seg, r["rank"]) for r in pacing.drag_sections(curve).collect()] == [("e", 0, 1)]
+
+
 def test_conflict_has_no_score_without_terms(spark):
     seg = segments.with_segments(blocks(spark, "平静", "战斗战斗", "安宁", sections_=list("ABC")))
     s = conflict.stats(seg).first()
