@@ -83,6 +83,25 @@ def test_a_tension_equal_to_the_mean_is_not_below_it(spark):
     assert [(r.doc_id, r.seg, r["rank"]) for r in pacing.drag_sections(curve).collect()] == [("e", 0, 1)]
 
 
+def test_pacing_stats_on_their_bounds(spark):
+    schema = "doc_id string, seg int, label string, chunked boolean, char_count long, tension double, length_sum long, length_squares long, sentence_count long"
+    point = lambda doc, i, chars, tension: (doc, i, str(i), False, chars, tension, 10, 100, 1)
+    alike = [point("d", i, n, 0.1) for i, n in enumerate([100, 10, 10])]
+    assert pacing.stats(spark.createDataFrame(alike, schema)).first().drag_count == 0
+    # Nine zeros and 50/3 deviate by 5: in this order a step by step mean says so to the last digit or just below, whatever the order of the rows.
+    tension = [0.0, 0.0, 50 / 3, *[0.0] * 7]
+    n, mean, squares = 0, 0.0, 0.0
+    for x in tension:
+        n, was = n + 1, mean
+        mean = was + (x - was) / n
+        squares += (x - mean) * (x - was)
+    rows = [point("b", i, 10, t) for i, t in enumerate(tension)]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = pacing.stats(spark.createDataFrame(rows, schema)).first()
+        assert got.tension_stdev == math.sqrt(squares / n) and got.verdict == ("flat" if got.tension_stdev < 5 else "varied")
+
+
 def test_conflict_has_no_score_without_terms(spark):
     seg = segments.with_segments(blocks(spark, "平静", "战斗战斗", "安宁", sections_=list("ABC")))
     s = conflict.stats(seg).first()
